@@ -7,6 +7,8 @@ are whole numbers, so sums and verdicts are the same in every run and order of r
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,7 +29,6 @@ THRESHOLD = -0.2
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 WINDOW = 5
 
-_SPACE = " \t\n\u000b\f\r"
 _SYMBOLS = "#*$%&|<>"
 
 
@@ -40,19 +41,18 @@ def base_features(text: str = "text") -> list[Column]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a whole text; null: none."""
     t = f"coalesce({text}, '')"
     word = WORD.replace("\\", "\\\\")
-    blank = "concat(' ', char(9), char(10), char(11), char(12), char(13))"
-    lines = f"filter(split({t}, '\\n', -1), l -> length(translate(l, {blank}, '')) > 0)"
-    hashes = f"transform(regexp_extract_all({t}, '{word}', 0), w -> xxhash64(w))"
+    lines = f"filter(split({t}, '\\n', -1), l -> l rlike '{word[:-1]}')"
+    words = f"regexp_extract_all({t}, '{word}', 0)"
     grams = "transform(slice(h, 1, size(h) - 4), (x, i) -> xxhash64(x, h[i + 1], h[i + 2], h[i + 3], h[i + 4]))"
     covered = "aggregate(transform(p, (x, i) -> IF(i + 1 < size(p), least(5, p[i + 1] - x), 5)), 0, (a, x) -> a + x)"
     starts = "array_sort(transform(filter(o, (x, i) -> x.g <=> get(o, i - 1).g OR x.g <=> get(o, i + 1).g), x -> x.i))"
     several = _let("sort_array(transform(g, (x, i) -> struct(x AS g, i AS i)))", "o", _let(starts, "p", covered))
     repeats = _let(grams, "g", f"IF(size(array_distinct(g)) = size(g), 0, {several})")
-    both = _let(hashes, "h", f"struct(size(h) AS n, IF(size(h) < 5, 0, {repeats}) AS r)")
+    inside = _let("transform(w, x -> xxhash64(x))", "h", f"IF(size(h) < 5, 0, {repeats})")
+    both = _let(words, "w", f"struct(size(w) AS n, {inside} AS r, aggregate(w, 0L, (a, x) -> a + length(x)) AS c)")
     return [
         F.expr(both).alias("_words"),
-        F.expr(f"cast(length(translate({t}, {blank}, '')) AS bigint)").alias("word_chars"),
-        F.expr(f"cast(length({t}) - length(translate({t}, '{_SYMBOLS}', '')) AS bigint)").alias("n_symbols"),
+        F.expr(f"cast(regexp_count({t}, '[{_SYMBOLS}]') AS bigint)").alias("n_symbols"),
         F.expr(_let(lines, "l", "cast(size(l) - size(array_distinct(l)) AS bigint)")).alias("n_dup_lines"),
     ]
 
@@ -90,8 +90,6 @@ def weights(docs: DataFrame, labels: DataFrame) -> list[int] | None:
     t_all, r_all = sum(t for t, _ in counts.values()), sum(r for _, r in counts.values())
     if not t_all:
         return None
-    import math
-
     size = 2 * BUCKETS
     shift = math.log((t_all + SMOOTH * size) / (r_all + SMOOTH * size))
     return [round(UNIT * (math.log((t + SMOOTH) / (r + SMOOTH)) - shift)) for t, r in (counts.get(k, (0, 0)) for k in range(size))]
@@ -107,7 +105,7 @@ def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     values = weights(docs, labels)
     t = docs.select("*", *base_features())
-    t = t.withColumn("n_words", F.col("_words.n").cast("long")).withColumn("n_repeat_words", F.col("_words.r").cast("long")).drop("_words")
+    t = t.withColumn("n_words", F.col("_words.n").cast("long")).withColumn("word_chars", F.col("_words.c")).withColumn("n_repeat_words", F.col("_words.r").cast("long")).drop("_words")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     t = t.withColumn("base_failed", failed)
     if values is None:
