@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import embeddings, html_text, language, minhash, mixing, packing, quality, secret_scan, token_store
+from tallyloom.llm import embeddings, html_text, language, minhash, mixing, packing, quality, secret_scan, suffixes, token_store
 
 QUERIES = {
+    "op1_suffix_repeats": suffixes.op1_suffix_repeats,
     "op2_html_text": html_text.op2_html_text,
     "op3_language": language.op3_language,
     "op4_packing": packing.op4_packing,
