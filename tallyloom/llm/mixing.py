@@ -106,6 +106,19 @@ def cut(t: DataFrame, budget: float) -> DataFrame:
     return t.select("doc_id", "source", "size", "source_size", "target", times.alias("passes"))
 
 
+def mix(docs: DataFrame) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it: 0, 1 or 2 times.
+
+    Rows that agree in doc_id, source and size get the highest count of them all.
+    """
+    passes = mix_counts(docs).groupBy("doc_id", "source", "size").agg(F.max("passes").alias("passes")).where("passes > 0")
+    p = materialize(passes, "passes").alias("p")
+    d = docs.withColumn("_size", word_count(F.col("text"))).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d._size") == F.col("p.size"))
+    taken = d.join(p, same).select("d.*", "p.passes").withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("passes"))))
+    return taken.select(*docs.columns)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix all documents."""
     t = mix_counts(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))

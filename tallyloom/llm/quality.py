@@ -122,3 +122,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     t = assess(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return t.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("score", 6).alias("score"))
+
+
+def drop_failing(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, with the columns of ``docs``."""
+    return assess(docs, labels).where("kept").select(*docs.columns)
