@@ -36,8 +36,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
         tool = tokens.encoder(spec)
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = tool.encode(text.as_py()) + end
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                data = tool.encode(text) + end
                 n, at, k = len(data) // 4, 0, 0
                 while at < n:
                     size = (n - at) % capacity or capacity

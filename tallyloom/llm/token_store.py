@@ -83,8 +83,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None) -> No
             )
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = tool.encode(text.as_py()) + end
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                data = tool.encode(text) + end
                 ids.append(doc_id)
                 lengths.append(len(data) // 4)
                 parts.append(data)

@@ -1,24 +1,27 @@
 """Token ids from a public tokenizer file, with a bounded memory of pieces.
 
 The vocabulary splits a text before each single space that is followed by a non-space, and then
-by its own pattern; no merge crosses such a cut. So the ids of a piece are remembered and each
-distinct piece goes through the tokenizers library once per worker. Texts for which the cut is
-not certain (special tokens, characters outside the plain Latin range, runs of white space that
-begin with a space) go to the library whole.
+by its own pattern; no merge crosses such a cut. So the ids of a piece are remembered, and each
+distinct word goes through the tokenizers library's model once in a worker's memory. Texts with a
+piece whose cut is not certain (special tokens, characters outside the plain Latin range, runs of
+white space that begin with a space) go to the library whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
+import regex
 
 END_ID = 2
-#: Remembered pieces in one Python worker; the memory is emptied when it is full.
-MEMORY = 400_000
+#: Remembered pieces and words in one Python worker; a memory is emptied when it is full.
+PIECES, WORDS = 700_000, 300_000
 
-_UNSURE = re.compile(r" \s|[^\t\n\r\x20-\x7e¡-¬®-ɏ]|<\|endoftext\|>|\s\Z")
+# The vocabulary's split pattern.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: What makes the cuts uncertain, beside a space before white space.
+UNSURE = r"[^\t\n\r\x20-\x7e¡-¬®-ɏ]|<\|endoftext\|>"
 _STATE: dict = {}
 
 
@@ -28,35 +31,69 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def byte_names() -> dict[int, str]:
+    """The characters that stand for bytes in a byte-level vocabulary: visible Latin-1 ones stand
+    for themselves, the others for code points from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memory: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
+        self.model = self.tokenizer.model
+        self.names = byte_names()
+        self.packed = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
+        self.split, self.unsure = regex.compile(PATTERN), regex.compile(UNSURE)
+        self.pieces: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            if len(self.words) >= WORDS:
+                self.words.clear()
+            # most words are ASCII letters, perhaps after a space, which has a name of its own
+            named = word.replace(" ", self.names[32]) if word.isascii() and word[-1].isalpha() else word.encode().decode("latin-1").translate(self.names)
+            packed = self.packed
+            found = self.words[word] = b"".join([packed[t.id] for t in self.model.tokenize(named)])
+        return found
+
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers, without the end id."""
         if not text:
             return b""
-        if _UNSURE.search(text):
-            return self._whole(text)
-        pieces = text.replace(" ", "\0 ").split("\0")
-        memory = self.memory
+        if "\0" in text:
+            return self.whole(text)
+        parts = text.replace(" ", "\0 ").split("\0")
+        pieces = self.pieces
         try:
-            return b"".join([memory[p] for p in pieces])
+            return b"".join([pieces[p] for p in parts])
         except KeyError:
             pass
-        if len(memory) > MEMORY:
-            memory.clear()
-        for piece in pieces:
-            if piece not in memory:
-                memory[piece] = self._whole(piece) if piece else b""
-        return b"".join([memory[p] for p in pieces])
+        if text[-1] == " " or any(pair in text for pair in ("  ", " \n", " \t", " \r")):
+            return self.whole(text)
+        new = [p for p in parts if p not in pieces]
+        if self.unsure.search("\n".join(new)):
+            return self.whole(text)
+        if len(pieces) + len(new) > PIECES:
+            pieces.clear()
+            pieces[""] = b""
+            new = parts[1:] if not parts[0] else parts
+        word, split = self._word, self.split.findall
+        for part in new:
+            if part[1:].isalpha() and (part[0] == " " or part[0].isalpha()):
+                pieces[part] = word(part)
+            else:
+                pieces[part] = b"".join([word(w) for w in split(part)])
+        return b"".join([pieces[p] for p in parts])
 
 
 def encoder(path: str) -> Encoder:
