@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tallyloom.plans import integrity, metrics, sequences, splits, texts  # noqa: F401
+from tallyloom.plans.registry import ORACLES, QUERIES  # noqa: F401
