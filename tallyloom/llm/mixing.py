@@ -111,11 +111,11 @@ def mix(docs: DataFrame) -> DataFrame:
 
     Rows that agree in doc_id, source and size get the highest count of them all.
     """
-    passes = mix_counts(docs).groupBy("doc_id", "source", "size").agg(F.max("passes").alias("passes")).where("passes > 0")
+    passes = mix_counts(docs).groupBy("doc_id", "source", "size").agg(F.max("passes").alias("_passes")).where("_passes > 0")
     p = materialize(passes, "passes").alias("p")
     d = docs.withColumn("_size", word_count(F.col("text"))).alias("d")
     same = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d._size") == F.col("p.size"))
-    taken = d.join(p, same).select("d.*", "p.passes").withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("passes"))))
+    taken = d.join(p, same).select("d.*", "p._passes").withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_passes"))))
     return taken.select(*docs.columns)
 
 

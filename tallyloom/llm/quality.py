@@ -95,6 +95,26 @@ def weights(docs: DataFrame, labels: DataFrame) -> list[int] | None:
     return [round(UNIT * (math.log((t + SMOOTH) / (r + SMOOTH)) - shift)) for t, r in (counts.get(k, (0, 0)) for k in range(size))]
 
 
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
+
+
+def _judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` with the result columns under names that begin with "_q_"."""
+    values = weights(docs.select("doc_id", "text"), labels)
+    c = F.col
+    t = docs.select("*", *[f.alias("_q" + name) for f, name in zip(base_features(), ("_words", "_n_symbols", "_n_dup_lines"))])
+    t = t.withColumns({"_q_n_words": c("_q_words.n").cast("long"), "_q_word_chars": c("_q_words.c"), "_q_n_repeat_words": c("_q_words.r").cast("long")}).drop("_q_words")
+    failed = (c("_q_n_words") < MIN_WORDS) | (100 * c("_q_n_repeat_words") > MAX_REPEAT_PERCENT * c("_q_n_words"))
+    t = t.withColumn("_q_base_failed", failed)
+    if values is None:
+        return t.withColumn("_q_score", F.lit(None).cast("double")).withColumn("_q_kept", ~c("_q_base_failed"))
+    table = F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")  # a constant of bounded size
+    total = F.aggregate("_q_grams", F.lit(0).cast("long"), lambda a, b: a + F.get(table, b))
+    t = t.withColumn("_q_grams", gram_buckets())
+    t = t.withColumn("_q_score", F.when(F.size("_q_grams") > 0, total / F.size("_q_grams") / UNIT)).drop("_q_grams")
+    return t.withColumn("_q_kept", ~c("_q_base_failed") & F.coalesce(c("_q_score") >= THRESHOLD, F.lit(True)))
+
+
 def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept.
 
@@ -103,18 +123,13 @@ def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
     each for itself: repeated rows, null ids and ties are kept apart; an empty table stays empty.
     Result columns replace columns of the same names.
     """
-    values = weights(docs, labels)
-    t = docs.select("*", *base_features())
-    t = t.withColumn("n_words", F.col("_words.n").cast("long")).withColumn("word_chars", F.col("_words.c")).withColumn("n_repeat_words", F.col("_words.r").cast("long")).drop("_words")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    t = t.withColumn("base_failed", failed)
-    if values is None:
-        return t.withColumn("score", F.lit(None).cast("double")).withColumn("kept", ~F.col("base_failed"))
-    table = F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")  # a constant of bounded size
-    total = F.aggregate("_grams", F.lit(0).cast("long"), lambda a, b: a + F.get(table, b))
-    t = t.withColumn("_grams", gram_buckets())
-    t = t.withColumn("score", F.when(F.size("_grams") > 0, total / F.size("_grams") / UNIT)).drop("_grams")
-    return t.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= THRESHOLD, F.lit(True)))
+    t = _judged(docs, labels).drop(*RESULTS)
+    return t.withColumnsRenamed({"_q_" + name: name for name in RESULTS})
+
+
+def drop_failing(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, with the columns of ``docs``."""
+    return _judged(docs, labels).where("_q_kept").select(*docs.columns)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,8 +137,3 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     t = assess(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return t.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("score", 6).alias("score"))
-
-
-def drop_failing(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with the columns of ``docs``."""
-    return assess(docs, labels).where("kept").select(*docs.columns)
