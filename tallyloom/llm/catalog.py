@@ -17,6 +17,7 @@ QUERIES = {
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {
+    "op6_quality": quality.ORACLE,
     "op7_embeddings": embeddings.ORACLE,
     "op8_minhash": minhash.ORACLE,
     "op9_secrets": secret_scan.ORACLE,

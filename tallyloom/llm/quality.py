@@ -137,3 +137,37 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     t = assess(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return t.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("score", 6).alias("score"))
+
+
+ORACLE = rf"""
+WITH RECURSIVE steps(i, k, c) AS (
+  SELECT range, 0, range FROM range(256) UNION ALL SELECT i, k + 1, xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END) FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+found AS (SELECT doc_id, regexp_extract_all(text, '{TOKEN}') AS w FROM docs),
+flat AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS p FROM found),
+hexed AS (SELECT w, hex(encode(w)) AS h FROM (SELECT DISTINCT w FROM flat)),
+hashed AS (
+  SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(h) // 2), lambda j: CAST('0x' || substr(h, 2 * j + 1, 2) AS BIGINT))),
+                            lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS c FROM hexed, crc),
+coded AS (SELECT doc_id, p, c, lag(c) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM flat JOIN hashed USING (w)),
+grams AS (
+  SELECT doc_id, c % {BUCKETS} AS bucket FROM coded UNION ALL
+  SELECT doc_id, (before * {PAIR} + c) % {BUCKETS} + {BUCKETS} FROM coded WHERE before IS NOT NULL),
+chosen AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND toxic = 0 ORDER BY md5(CAST(doc_id AS VARCHAR)) LIMIT {TRUSTED_ROWS}),
+counts AS (SELECT bucket, count(*) AS r, count(*) FILTER (doc_id IN (SELECT doc_id FROM chosen)) AS t FROM grams GROUP BY bucket),
+totals AS (SELECT ln((sum(t) + {SMOOTH * 2 * BUCKETS}) / (sum(r) + {SMOOTH * 2 * BUCKETS})) AS shift FROM counts),
+weights AS (SELECT bucket, CAST(round({UNIT} * (ln((t + {SMOOTH}) / (r + {SMOOTH})) - shift)) AS BIGINT) AS weight FROM counts, totals),
+scores AS (SELECT doc_id, sum(weight) / count(*) / {UNIT} AS score FROM grams JOIN weights USING (bucket) GROUP BY doc_id),
+words AS (SELECT doc_id, text, regexp_extract_all(text, '{WORD}') AS w FROM docs),
+windows AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS p, w FROM words WHERE len(w) >= 5),
+repeated AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, w[p:p + 4]) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT p + k) AS n FROM repeated, (VALUES (0), (1), (2), (3), (4)) AS v(k) GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM docs) WHERE regexp_matches(l, '{WORD[:-1]}') GROUP BY doc_id),
+base AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(translate(text, '{_SYMBOLS}', '')) AS BIGINT) AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
+  FROM words d LEFT JOIN lines l ON d.doc_id = l.doc_id LEFT JOIN covered c ON d.doc_id = c.doc_id),
+judged AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM base)
+SELECT b.*, NOT base_failed AND coalesce(s.score >= {THRESHOLD}, true) AS kept, round(s.score, 6) AS score FROM judged b LEFT JOIN scores s ON b.doc_id = s.doc_id
+"""
