@@ -13,13 +13,15 @@ from tallyloom.functions.scalars import slug
 from tallyloom.session import map_batches
 
 # Roles of controls that can be acted on.
-ROLES = ("button", "checkbox", "combobox", "link", "listbox", "menuitem", "option", "radio", "searchbox", "slider", "spinbutton", "switch", "tab", "textbox")
+ROLES = ("button", "checkbox", "combobox", "link", "menuitem", "option", "radio", "searchbox", "slider", "spinbutton", "switch", "tab", "textbox", "treeitem")
+# Tags of a complete message, in their order.
+TAGS = ("<think>", "<observation>", "<reasoning>", "<prediction>", "<rev_check>", "<reversibility>", "<undo>", "<decision>", "</think>", "<answer>")
 
 
 def controls(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, line, depth, bid, role, name) of every interactive line ``[bid] role 'name'``."""
     lines = rows.select(key, F.posexplode(F.split(text, "\n")).alias("line", "raw"))
-    pattern = r"^([ \t]*)\[([^\]]+)\][ \t]+([A-Za-z]+)[ \t]*(.*)$"
+    pattern = r"^([ \t]*)\[([^\]]+)\][ \t]+([A-Za-z_][A-Za-z0-9_-]*)[ \t]*(.*)$"
     get = lambda k: F.regexp_extract("raw", pattern, k)
     t = lines.where(F.col("raw").rlike(pattern)).select(key, "line", F.length(get(1)).alias("depth"), get(2).alias("bid"), F.lower(get(3)).alias("role"), get(4).alias("rest"))
     quoted = F.regexp_extract("rest", "'([^']*)'", 1)
