@@ -75,7 +75,7 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-CLASS = "class_id long, label string, dims int, copies long, embedding array<float>"
+CLASS = "class_id long, k1 long, k2 long, label string, dims int, copies long, embedding array<float>"
 
 
 def _hashed(classes: DataFrame) -> DataFrame:
@@ -83,10 +83,10 @@ def _hashed(classes: DataFrame) -> DataFrame:
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims = batch.column(2).to_numpy(zero_copy_only=False)
+            dims = batch.column("dims").to_numpy(zero_copy_only=False)
             for size in np.unique(dims):
                 part = batch.filter(pa.array(dims == size))
-                x = _vectors(part.column(4))
+                x = _vectors(part.column("embedding"))
                 unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
                 found = np.concatenate([probes(unit, t) for t in range(TABLES)], axis=1).astype(np.int32)
                 lists = pa.ListArray.from_arrays((np.arange(len(x) + 1) * found.shape[1]).astype(np.int32), pa.array(found.reshape(-1)))
@@ -196,7 +196,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     Vectors with null label or id, and those that are null, empty, zero or hold null or non-finite
     components, link with nothing (n_links 0; the component is the own id). Lengths must agree.
     Equal vectors of a label form a class that is compared once and counts with all its copies.
-    Repeated rows count as copies. An empty table gives an empty table; other columns are ignored.
+    Repeated rows count as copies; different vectors with one id share its links and component. An empty table gives an empty table; other columns are ignored.
     """
     e = F.col("embedding").cast("array<float>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), e.alias("embedding"))
@@ -205,19 +205,19 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     good = rows.where("usable").withColumns({"k1": F.xxhash64("label", "embedding"), "k2": F.xxhash64(F.lit("second"), "label", "embedding")})
     classes = good.groupBy("k1", "k2").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies"))
     first = good.join(classes, ["k1", "k2"]).where("vec_id = class_id").dropDuplicates(["k1", "k2"])
-    # two classes may have the same least id when ids repeat; they stay apart by their own numbers
-    plain = first.select("class_id", "label", F.size("embedding").alias("dims"), "copies", "embedding")
+    # two classes have the same least id where an id stands by several vectors; their hashes part them
+    plain = first.select("class_id", "k1", "k2", "label", F.size("embedding").alias("dims"), "copies", "embedding")
     hashed = materialize(_hashed(plain), "hashed-vectors")
-    spots = hashed.select("class_id", "label", "dims", F.posexplode("codes").alias("at", "code")).withColumn("tab", F.floor(F.col("at") / PROBES).cast("int"))
+    spots = hashed.select("class_id", "k1", "k2", "label", "dims", F.posexplode("codes").alias("at", "code")).withColumn("tab", F.floor(F.col("at") / PROBES).cast("int"))
     bucket = ["label", "dims", "tab", "code"]
     crowds = spots.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    seats = spots.join(crowds, bucket).withColumn("block", F.pmod(F.xxhash64("class_id", F.lit(5)), F.col("blocks")).cast("int"))
+    seats = spots.join(crowds, bucket).withColumn("block", F.pmod(F.xxhash64("k2", F.lit(5)), F.col("blocks")).cast("int"))
     # a block meets itself and every other block once
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     seats = seats.withColumn("other", other).withColumn("side", F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1))
     key = F.xxhash64(*bucket, F.least("block", "other"), F.greatest("block", "other"))
-    seats = seats.select("class_id", "tab", "code", "side", key.alias("key"))
-    members = seats.join(hashed.select("class_id", "dims", "copies", "embedding", "codes"), "class_id")
+    seats = seats.select("k1", "k2", "tab", "code", "side", key.alias("key"))
+    members = seats.join(hashed.select("class_id", "k1", "k2", "dims", "copies", "embedding", "codes"), ["k1", "k2"])
     members = members.select("key", "class_id", "dims", "copies", "embedding", "codes", "tab", "code", "side")
     found = materialize(_compared(members.repartition("key").sortWithinPartitions("key", "side")), "vector-links")
     components = connected_components(found.select(F.col("class_id").alias("u"), F.col("root").alias("v")))
