@@ -226,7 +226,7 @@ def length_percentiles(spark, sf_dir):
 
 
 @query(EPISODES + """SELECT doc_id, CASE WHEN violates THEN 'AVOID' WHEN risk THEN 'CONFIRM' WHEN NOT risk THEN 'EXECUTE' WHEN n_chars % 4 IN (2, 3) THEN 'CONFIRM' WHEN required AND n_chars % 4 = 0 THEN 'VERIFY' ELSE 'EXECUTE' END AS decision,
-  round(CASE WHEN violates AND risk THEN 0.95 WHEN violates THEN 0.8 WHEN risk THEN 0.9 WHEN NOT risk THEN 0.1 WHEN required AND n_chars % 4 = 0 THEN 0.5 WHEN n_chars % 4 IN (2, 3) THEN 0.7 WHEN required THEN 0.1 ELSE 0.15 END, 4) AS score FROM ep""")
+  round(CASE WHEN violates AND risk THEN 0.95 WHEN violates THEN 0.8 WHEN risk THEN 0.9 WHEN NOT risk THEN 0.1 WHEN required AND n_chars % 4 = 0 THEN 0.5 WHEN n_chars % 4 IN (2, 3) THEN 0.7 WHEN required THEN 0.1 ELSE 0.15 END, 4) :: DOUBLE AS score FROM ep""")
 def policy_oracle(spark, sf_dir):
     """PRJ10: decision and score from constraint, risk and recoverability."""
     t = predictions(spark, sf_dir)
@@ -236,7 +236,7 @@ def policy_oracle(spark, sf_dir):
 
 @query(EPISODES + """, w AS (SELECT doc_id, CASE WHEN decision IS NULL THEN 0.0 ELSE 0.2 END + CASE WHEN decision = CASE WHEN risk THEN 'CONFIRM' ELSE 'EXECUTE' END THEN 0.4 ELSE 0.0 END
   + CASE WHEN violates AND decision = 'EXECUTE' THEN -1.0 ELSE 0.0 END AS r FROM ep)
-SELECT doc_id, round(r, 6) AS reward FROM w""")
+SELECT doc_id, round(r, 6) :: DOUBLE AS reward FROM w""")
 def reward_scores(spark, sf_dir):
     """STAT7: weighted rewards for format, decision and safety."""
     t, c = episodes(spark, sf_dir), F.col
