@@ -25,7 +25,7 @@ from tallyloom.operators.graph import connected_components
 from tallyloom.session import map_batches, materialize
 
 SHINGLE = 5
-REGISTERS = 256
+REGISTERS = 512
 #: Base, rate and highest value of the registers: exponent steps so fine that equality is nearly that of minima.
 BASE, RATE, TOP = 1.001, 20.0, 65_534
 #: Register values that make up a band, and bands, for similarities from 0.85 and from 0.8.
@@ -223,11 +223,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = usable.groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("class_id"))
     # a representative's row holds what its class shares, so any row of that id and set will do
     reps = usable.join(classes.select("set1", "set2", F.col("class_id").alias("doc_id")), ["set1", "set2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "set1", "set2"])
-    many = reps.select("doc_id", "n_shingles", "registers", "bits", F.posexplode("bands").alias("band", "value"))
     slim = reps.select("doc_id", F.posexplode("bands").alias("band", "value"))
     least = slim.groupBy("band", "value").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1")
     shared = materialize(slim.join(least.drop("n"), ["band", "value"]), "shared-bands")  # members of bands with company
-    reps = materialize(reps.select("doc_id", "n_shingles", "registers", "bits").dropDuplicates(["doc_id"]), "representatives")
+    reps = materialize(reps.select("doc_id", "n_shingles", "registers", "bits", "bands").dropDuplicates(["doc_id"]), "representatives")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     star = shared.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
     links = materialize(_verified(materialize(_plausible(star, reps, threshold), "plausible"), texts, percent), "links")
@@ -243,24 +242,25 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def _crossing(shared: DataFrame, reps: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs of members of one band that are in different components and may be similar.
+    """Pairs of members of one band that are in different components and may be similar, each once.
 
     Only bands with more than one component matter. The condition stands inside the join, so no
-    pair that fails it becomes a row; skewed bands are split by adaptive execution.
+    pair that fails it becomes a row, and a pair that shares several bands is one only in the
+    first; skewed bands are split by adaptive execution.
     """
     part = labels.withColumnRenamed("node", "doc_id")
     told = shared.join(part, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = told.groupBy("band", "value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "value")
-    rows = told.drop("a").join(mixed, ["band", "value"]).join(reps.select("doc_id", "n_shingles", "bits"), "doc_id")
-    rows = materialize(rows.select("band", "value", "doc_id", "component", "n_shingles", "bits"), "mixed-bands")
+    rows = told.drop("a").join(mixed, ["band", "value"]).join(reps.select("doc_id", "n_shingles", "bits", "bands"), "doc_id")
+    rows = materialize(rows.select("band", "value", "doc_id", "component", "n_shingles", "bits", "bands"), "mixed-bands")
     words = 2 * REGISTERS // 64
     differ = " + ".join(f"bit_count(((x.bits[{k}] ^ y.bits[{k}]) | shiftrightunsigned(x.bits[{k}] ^ y.bits[{k}], 1)) & 6148914691236517205L)" for k in range(words))
     # two bits of different values agree by chance one time in four
     agree = threshold + (1 - threshold) / 4
-    most = REGISTERS * (1 - agree) + (MARGIN + 1) * math.sqrt(REGISTERS * agree * (1 - agree))
-    condition = f"x.band = y.band AND x.value = y.value AND x.component <> y.component AND x.doc_id < y.doc_id AND least(x.n_shingles, y.n_shingles) >= {threshold} * greatest(x.n_shingles, y.n_shingles) - 1e-9D AND {differ} <= {int(most)}"
+    most = REGISTERS * (1 - agree) + MARGIN * math.sqrt(REGISTERS * agree * (1 - agree))
+    condition = f"x.band = y.band AND x.value = y.value AND x.component <> y.component AND x.doc_id < y.doc_id AND least(x.n_shingles, y.n_shingles) >= {threshold} * greatest(x.n_shingles, y.n_shingles) - 1e-9D AND {differ} <= {int(most)} AND (x.band = 0 OR NOT exists(sequence(1, x.band), k -> x.bands[k - 1] = y.bands[k - 1]))"
     pairs = rows.alias("x").join(rows.alias("y"), F.expr(condition)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-    return pairs.distinct()
+    return pairs
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
