@@ -1,30 +1,33 @@
 """Operator 3: language identification by interpolated Kneser-Ney character models.
 
-Runs of four characters are counted for each language over the training documents. From the
-counts, interpolated Kneser-Ney probabilities are worked out for every order and stored in hash
-arrays in ascending order. A text gets the language with the lowest cross-entropy for each
+Runs of four characters are counted for each language over the training documents. From all counts,
+interpolated Kneser-Ney probabilities are worked out as tables for every order and stored in
+shards of hash arrays in ascending order. A text gets the language with the lowest cross-entropy for each
 character; the score is calibrated on training documents and falls for texts that fit no model.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyloom.llm.shingles import mix
-from tallyloom.session import map_batches
+from tallyloom.session import map_batches, materialize
 
 ORDER = 4
 DISCOUNT = 0.75
-#: The model keeps at most so many runs, the most frequent ones.
-MODEL_RUNS = 400_000
+#: Values of a shard of the model, about, and shards that a worker keeps loaded.
+SHARD_CELLS, HELD_SHARDS = 1 << 22, 4
 #: Training rows whose entropies set the limits of rejection, about; a hash chooses them.
 CALIBRATION_ROWS = 2_000
 #: Characters turned to codes in one go, about.
 CHUNK = 1 << 19
+#: Chunks whose runs are looked up together.
+TOGETHER = 8
 UNKNOWN = "und"
 #: Entropies further above the training mean than so many deviations lower the score.
 LIMIT = 4.0
@@ -100,86 +103,107 @@ def count_runs(training: DataFrame) -> DataFrame:
     return part.groupBy("lang", "run").agg(F.sum("n").alias("n"))
 
 
+def smoothed(counts: DataFrame) -> tuple[DataFrame, float]:
+    """(kind, run, lang, value) of interpolated Kneser-Ney, and the logarithm of an unseen character.
+
+    ``kind`` is the order of a run with its log-probability, or minus the order of a context with
+    the logarithm of the weight left for the shorter order. All runs of all languages are there.
+    """
+    tables = {ORDER: counts}
+    for order in range(ORDER - 1, 0, -1):  # continuation counts: distinct characters before a run
+        short = F.col("run").bitwiseAND(F.lit((1 << (16 * order)) - 1)).alias("run")
+        tables[order] = materialize(tables[order + 1].groupBy("lang", short).agg(F.count("*").alias("n")), "language-kinds")
+    unseen = 1.0 / (tables[1].select("run").distinct().count() + 1)
+    parts, shorter = [], None
+    for order in range(1, ORDER + 1):
+        t = tables[order].withColumn("context", F.shiftrightunsigned("run", 16))
+        rest = t.groupBy("lang", "context").agg(F.sum("n").alias("total"), (DISCOUNT * F.count("*") / F.sum("n")).alias("rest"))
+        t = t.join(rest, ["lang", "context"])
+        if shorter is None:
+            t = t.withColumn("below", F.lit(unseen))
+        else:
+            t = t.withColumn("short", F.col("run").bitwiseAND(F.lit((1 << (16 * order - 16)) - 1))).join(shorter, ["lang", "short"])
+        p = materialize(t.select("lang", "run", (F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / F.col("total") + F.col("rest") * F.col("below")).alias("p")), "language-order")
+        shorter = p.select("lang", F.col("run").alias("short"), F.col("p").alias("below"))
+        parts.append(p.select(F.lit(order).alias("kind"), "run", "lang", F.log("p").cast("float").alias("value")))
+        parts.append(rest.select(F.lit(-order).alias("kind"), F.col("context").alias("run"), "lang", F.log("rest").cast("float").alias("value")))
+    return reduce(DataFrame.unionAll, parts), float(np.log(unseen))
+
+
+def _arrays(rows: pa.Table, many: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By kind: hashes in ascending order, and the values of each language; NaN where it has none."""
+    kind, run, lang, value = (rows.column(c).to_numpy() for c in ("kind", "run", "lang", "value"))
+    out = {}
+    for k in np.unique(kind).tolist():
+        own = kind == k
+        hashes, place = np.unique(mix(run[own].view(np.uint64)), return_inverse=True)
+        values = np.full((len(hashes), many), np.nan, dtype=np.float32)
+        values[place, lang[own]] = value[own]
+        out[k] = hashes, values
+    return out
+
+
 class Model:
-    """Interpolated Kneser-Ney probabilities of all languages over one array of hashes per order."""
+    """Interpolated Kneser-Ney probabilities of all languages in shards of hash arrays.
+
+    A run is in the shard that its number names modulo their count. Few shards stay loaded; of
+    many, one at a time is.
+    """
 
-    def __init__(self, langs: list[str], run: np.ndarray, lang: np.ndarray, n: np.ndarray):
-        self.langs = langs
+    def __init__(self, langs: list[str], floor: float, shards: list):
+        self.langs, self.floor, self.shards = langs, floor, shards
         self.limits = np.full(len(langs), np.inf)
         self.spread = np.ones(len(langs))
-        many = len(langs)
-        keys, back = np.unique(run, return_inverse=True)
-        counts = np.zeros((len(keys), many))
-        np.add.at(counts, (back, lang), n)
-        # per order: hashes in ascending order, log-probabilities, and weights left for the shorter order
-        self.hashes: list[np.ndarray] = [None] * (ORDER + 1)
-        self.logp: list[np.ndarray] = [None] * (ORDER + 1)
-        self.rest_hash: list[np.ndarray] = [None] * (ORDER + 1)
-        self.rest: list[np.ndarray] = [None] * (ORDER + 1)
-        tables = {ORDER: (keys, counts)}
-        for order in range(ORDER - 1, 0, -1):  # continuation counts: distinct characters before a run
-            longer, amounts = tables[order + 1]
-            short, place = np.unique(longer & np.uint64((1 << (16 * order)) - 1), return_inverse=True)
-            kinds = np.zeros((len(short), many))
-            np.add.at(kinds, place, (amounts > 0).astype(float))
-            tables[order] = (short, kinds)
-        lower = None
-        for order in range(1, ORDER + 1):
-            keys, counts = tables[order]
-            context, place = np.unique(keys >> np.uint64(16), return_inverse=True)
-            total, kinds = np.zeros((len(context), many)), np.zeros((len(context), many))
-            np.add.at(total, place, counts)
-            np.add.at(kinds, place, (counts > 0).astype(float))
-            rest = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
-            if order == 1:
-                below = np.full((len(keys), many), 1.0 / (len(keys) + 1))
-            else:
-                below = lower[np.searchsorted(tables[order - 1][0], keys & np.uint64((1 << (16 * (order - 1))) - 1))]
-            p = np.maximum(counts - DISCOUNT, 0) / np.maximum(total, 1)[place] + rest[place] * below
-            lower = p
-            for name, key, value in (("hashes", keys, None), ("rest_hash", context, None)):
-                hashed = mix(key + np.uint64(order * 0x9E3779B97F4A7C15 % 2**64))
-                sort = np.argsort(hashed)
-                getattr(self, name)[order] = hashed[sort]
-                if name == "hashes":
-                    self.logp[order] = np.log(p)[sort].astype(np.float32)
-                else:
-                    self.rest[order] = np.log(rest)[sort].astype(np.float32)
-        self.floor = np.float32(np.log(1.0 / (len(tables[1][0]) + 1)))
-
-    def _find(self, table: np.ndarray, key: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-        hashed = mix(key + np.uint64(order * 0x9E3779B97F4A7C15 % 2**64))
-        at = np.minimum(np.searchsorted(table, hashed), len(table) - 1)
-        return at, table[at] == hashed
-
-    def log_probabilities(self, keys: np.ndarray, order: int = ORDER) -> np.ndarray:
+
+    def _each(self) -> Iterator[dict[int, tuple[np.ndarray, np.ndarray]]]:
+        for shared in self.shards:
+            yield shared.value
+            if len(self.shards) > HELD_SHARDS and getattr(shared, "_path", None):
+                vars(shared).pop("_value", None)
+
+    def log_probabilities(self, keys: np.ndarray) -> np.ndarray:
         """Natural logarithms for each run and language."""
-        if not order:
-            return np.full((len(keys), len(self.langs)), self.floor, dtype=np.float32)
-        at, known = self._find(self.hashes[order], keys, order)
-        out = self.logp[order][at]
-        if not known.all():
-            missing = keys[~known]
-            shorter = self.log_probabilities(missing & np.uint64((1 << (16 * (order - 1))) - 1), order - 1)
-            where, seen = self._find(self.rest_hash[order], missing >> np.uint64(16), order)
-            out[~known] = shorter + np.where(seen[:, None], self.rest[order][where], 0)
+        many, wanted, back, got = len(self.langs), {}, {}, {}
+        for order in range(1, ORDER + 1):
+            short = keys & np.uint64((1 << (16 * order)) - 1)
+            for kind, key in ((order, short), (-order, short >> np.uint64(16))):
+                wanted[kind], back[kind] = np.unique(key, return_inverse=True)
+                got[kind] = np.full((len(wanted[kind]), many), np.nan, dtype=np.float32)
+        for number, shard in enumerate(self._each()):
+            for kind, (hashes, values) in shard.items():
+                place = np.flatnonzero(wanted[kind].view(np.int64) % len(self.shards) == number)
+                hashed = mix(wanted[kind][place])
+                at = np.minimum(np.searchsorted(hashes, hashed), len(hashes) - 1)
+                seen = hashes[at] == hashed
+                got[kind][place[seen]] = values[at[seen]]
+        out = np.full((len(keys), many), self.floor, dtype=np.float32)
+        for order in range(1, ORDER + 1):
+            value, rest = got[order][back[order]], got[-order][back[-order]]
+            out = np.where(np.isnan(value), out + np.nan_to_num(rest, nan=0.0), value)
         return out
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Nats for each character by text and language, and the number of characters; 0 without letters."""
         out, size = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts))
-        for first, last in _split(texts):
-            numbers, owner = codes(texts[first:last])
-            # a text's first characters have zeros before them
-            key, own = grams(*_padded(numbers, owner))
-            distinct, back = np.unique(key, return_inverse=True)
-            logs = self.log_probabilities(distinct)
-            letters = np.bincount(owner, numbers != 0, last - first)
-            n = np.bincount(own, minlength=last - first)
-            for k in range(len(self.langs)):
-                sums = np.bincount(own, logs[back, k], last - first)
-                out[first:last, k] = -sums / np.maximum(n, 1)
-            size[first:last] = np.where(letters > 0, n, 0)
+        slices = list(_split(texts))
+        for at in range(0, len(slices), TOGETHER):
+            parts = []
+            for first, last in slices[at : at + TOGETHER]:
+                numbers, owner = codes(texts[first:last])
+                # a text's first characters have zeros before them
+                key, own = grams(*_padded(numbers, owner))
+                distinct, back = np.unique(key, return_inverse=True)
+                letters = np.bincount(owner, numbers != 0, last - first)
+                parts.append((first, last, letters, distinct, back.astype(np.int32), own.astype(np.int32)))
+            known = np.unique(np.concatenate([p[3] for p in parts]))
+            found = self.log_probabilities(known)
+            for first, last, letters, distinct, back, own in parts:
+                logs = found[np.searchsorted(known, distinct)]
+                n = np.bincount(own, minlength=last - first)
+                for k in range(len(self.langs)):
+                    sums = np.bincount(own, logs[back, k], last - first)
+                    out[first:last, k] = -sums / np.maximum(n, 1)
+                size[first:last] = np.where(letters > 0, n, 0)
         return out, size
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -206,30 +230,33 @@ def is_held_out() -> F.Column:
 def train(training: DataFrame) -> Model | None:
     """Model from (lang, text) rows; null langs and texts are ignored. None if nothing is left.
 
-    The counts cover all rows; the driver sees at most ``MODEL_RUNS`` runs.
+    Counts and probabilities cover all runs of all rows and are worked out as tables; the driver
+    sees the names of the languages and one shard of about ``SHARD_CELLS`` values at a time.
     """
     rows = training.where("lang IS NOT NULL AND text IS NOT NULL")
     rows = rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), *[c for c in ("doc_id",) if c in training.columns])
-    counts = count_runs(rows)
-    top = counts.orderBy(F.desc("n"), "lang", "run").limit(MODEL_RUNS).toPandas()
-    if not len(top):
+    counts = materialize(count_runs(rows), "language-runs")
+    langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
+    if not langs:
         return None
-    langs = sorted(top.lang.unique())
-    index = {name: k for k, name in enumerate(langs)}
-    model = Model(langs, top.run.to_numpy().view(np.uint64), top.lang.map(index).to_numpy(), top.n.to_numpy(dtype=float))
-    return calibrate(model, rows)
+    index = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int") - 1
+    values, floor = smoothed(counts.select(index.alias("lang"), "run", "n"))
+    values = materialize(values, "language-model")
+    runs = values.select("kind", "run").distinct().count()
+    many = -(-runs * len(langs) // SHARD_CELLS) | 1  # an odd count, as runs that end alike differ by powers of two
+    context, shards = training.sparkSession.sparkContext, []
+    for number in range(many):
+        own = values.where(F.pmod("run", F.lit(many)) == number).toArrow()
+        shards.append(context.broadcast(_arrays(own, len(langs))))
+    return calibrate(Model(langs, floor, shards), rows)
 
 
 def calibrate(model: Model, rows: DataFrame) -> Model:
     """Sets the limits of rejection from the own entropies of a bounded sample of training rows."""
-    session = rows.sparkSession
-    shared = session.sparkContext.broadcast(model)
-
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value
+        index = {name: k for k, name in enumerate(model.langs)}
         for batch in batches:
-            entropy, size = held.entropies(batch.column(1).to_pylist())
-            index = {name: k for k, name in enumerate(held.langs)}
+            entropy, size = model.entropies(batch.column(1).to_pylist())
             own = [(name, float(entropy[k, index[name]])) for k, name in enumerate(batch.column(0).to_pylist()) if name in index and size[k]]
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in own], pa.string()), pa.array([b for _, b in own], pa.float64())], names=["lang", "h"])
 
@@ -251,12 +278,10 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), is_held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
     if model is None:
         return plain.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MODEL_RUNS runs for each order
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value
         for batch in batches:
-            told, score = held.predict(batch.column(2).to_pylist())
+            told, score = model.predict(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(told, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return map_batches(plain, judge, "doc_id long, held_out boolean, lang_pred string, score double")

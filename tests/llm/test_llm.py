@@ -168,6 +168,52 @@ def test_language_edges(nasty, empty):
     assert language.identify(empty, language.train(nasty)).count() == 0
 
 
+def brute_kneser_ney(texts, key, lang):
+    """Log-probability of a run by the formula, over all runs of {lang: texts}."""
+    held = {k: dict(zip(*(a.tolist() for a in np.unique(language.grams(*language.codes(v))[0], return_counts=True)))) for k, v in texts.items()}
+    held = {4: held}
+    for order in (3, 2, 1):
+        held[order] = {}
+        for k, runs in held[order + 1].items():
+            kinds = held[order][k] = {}
+            for run in runs:
+                short = run & ((1 << (16 * order)) - 1)
+                kinds[short] = kinds.get(short, 0) + 1
+    p = 1 / (len(set().union(*held[1].values())) + 1)
+    for order in (1, 2, 3, 4):
+        own = key & ((1 << (16 * order)) - 1)
+        peers = [n for run, n in held[order][lang].items() if run >> 16 == own >> 16]
+        if peers:
+            p = max(held[order][lang].get(own, 0) - 0.75, 0) / sum(peers) + 0.75 * len(peers) / sum(peers) * p
+    return np.log(p)
+
+
+@pytest.mark.parametrize("cells", [1 << 22, 80])
+def test_shards_hold_the_whole_model(spark, monkeypatch, cells):
+    monkeypatch.setattr(language, "SHARD_CELLS", cells)
+    texts = {"x": ["abab ba cab", "a bad cab"], "y": ["aab bb ab", "eta dab ab"], "z": ["ωδω ab"]}
+    rows = spark.createDataFrame([(k, t) for k, v in texts.items() for t in v], "lang string, text string").coalesce(1)
+    model = language.train(rows)
+    assert model.langs == ["x", "y", "z"] and (len(model.shards) > language.HELD_SHARDS) == (cells == 80)
+    rng = np.random.default_rng(3)
+    keys = [sum(int(rng.choice([0, 97, 98, 99, 100, 969, 948, 120])) << (16 * k) for k in range(4)) for _ in range(150)]
+    keys += np.unique(language.grams(*language.codes(sum(texts.values(), [])))[0]).tolist()
+    want = [[brute_kneser_ney(texts, key, k) for k in model.langs] for key in keys]
+    assert np.allclose(model.log_probabilities(np.array(keys, dtype=np.uint64)), want, atol=1e-4)
+    assert [r.lang_pred for r in language.identify(spark.createDataFrame([(1, "ωδω")], "doc_id long, text string"), model).collect()] == ["z"]
+
+
+def test_rare_language_beside_a_large_one(spark):
+    letters = np.random.default_rng(5).integers(0x4E00, 0x9000, 450_000)
+    big = "".join(map(chr, letters.tolist()))
+    rows = spark.createDataFrame([("big", big), ("big", big), ("rare", "the quick brown fox jumps")], "lang string, text string")
+    model = language.train(rows)
+    assert model.langs == ["big", "rare"]
+    assert sum(int((~np.isnan(s.value[4][1])).sum()) for s in model.shards) == rows.transform(language.count_runs).count() > 400_000
+    docs = spark.createDataFrame([(1, "the brown fox"), (2, big[1000:1040])], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in language.identify(docs, model).collect()} == {1: "rare", 2: "big"}
+
+
 # 4, 5 ------------------------------------------------------------- tokens
 
 
