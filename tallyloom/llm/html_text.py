@@ -53,7 +53,7 @@ def _marks(name: str, attributes: str, inside_main: bool) -> str:
     if values:
         if "hidden" in values or values.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", values.get("style", "")):
             return "other"
-        if values.get("role", "").lower() in _OTHER_ROLES or (name not in ("body", "html") and _OTHER_NAMES.search(f"{values.get('class', '')} {values.get('id', '')}")):
+        if values.get("role", "").lower() in _OTHER_ROLES or (name not in ("body", "html") and name not in _MAIN and _OTHER_NAMES.search(f"{values.get('class', '')} {values.get('id', '')}")):
             return "other"
         if values.get("role") == "main" or values.get("itemprop") == "articleBody" or _MAIN_NAMES.search(f"{values.get('class', '')} {values.get('id', '')}"):
             return "main"
@@ -70,8 +70,7 @@ def runs(page: str) -> list[Run]:
         nonlocal has_main
         if text:
             around = stack[-1][1] if stack else "plain"
-            if not text.isspace():
-                has_main |= around == "main"
+            has_main |= around == "main" and not text.isspace()
             linked = any(n == "a" for n, _ in stack[-3:])
             out.append(("link" if linked else "word", around, html.unescape(text), block))
 
@@ -123,8 +122,8 @@ def runs(page: str) -> list[Run]:
         elif name not in _INLINE:
             block += 1
         out.append((kind, around, "", block))
-    if has_main:  # beside a marked main part, other text stands outside
-        out = [(k, "outside" if a == "plain" else a, t, b) for k, a, t, b in out]
+    if has_main:  # beside a marked main part, unmarked words are a feature of their own; they still add to a region
+        out = [(k, "beside" if (k, a) == ("word", "plain") else a, t, b) for k, a, t, b in out]
     return out
 
 
@@ -147,13 +146,16 @@ def weights() -> dict[tuple[str, str], float]:
             n = len(text.split()) if kind in ("word", "link") else 1
             (inside if first <= k <= last else outside)[kind, around] += n
     out = {}
-    for around in ("plain", "main", "inner", "other", "outside"):
+    for around in ("plain", "beside", "main", "inner", "other"):
         for kind in ("word", "link", "inline", "p", "li", "div", "td", "h1", "h2", "h3", "block"):
             a, b = inside[kind, around], outside[kind, around]
             out[kind, around] = math.log((a + 0.5) / (b + 0.5))
-    limit = {"inner": (0.0, 0.0), "main": (0.05, 5), "other": (-5, -0.5), "outside": (-5, -0.5)}
+    limit = {"inner": (0.0, 0.0), "other": (-5, -0.5)}
     for kind, around in out:
-        low, high = limit.get(around) or ((0.2, 1.0) if kind == "word" else (-4.0, -0.4))
+        if around == "main":
+            low, high = (0.05, 5.0) if kind in ("word", "link") else (-4.0, -0.05)
+        else:
+            low, high = limit.get(around) or ((0.2, 1.0) if kind == "word" else (-4.0, -0.4))
         out[kind, around] = min(high, max(low, out[kind, around]))
     return out
 
@@ -182,7 +184,7 @@ def main_text(page: str | None) -> str:
     first, last = best_region(scores)
     blocks: dict[int, list[str]] = {}
     for kind, around, text, block in found[first:last]:
-        if text and around in ("plain", "main"):
+        if text and around in ("plain", "beside", "main"):
             blocks.setdefault(block, []).append(text)
     lines = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n\n".join(line for line in lines if line)

@@ -112,6 +112,36 @@ def test_main_text_of_templates():
     assert html_text.main_text(bare) == f"{long}\n\n{long}"
 
 
+def test_teaser_articles_leave_the_unmarked_body():
+    body = " ".join(["The road runs on past the last farm."] * 125)
+    for before, after in (("", "<article class=card><h3>Teaser</h3><p>Read more of this.</p></article>"), ("<main><p>Start here.</p></main>", "")):
+        text = html_text.main_text(f"<body><nav><a href=/>Home</a></nav>{before}<div><p>{body}</p></div>{after}<footer>End</footer></body>")
+        assert body in text.split("\n\n") and "Home" not in text and "End" not in text
+        short = "<p>" + "</p><p>".join(f"Line {k} says what was seen on the road." for k in range(40)) + "</p>"
+        text = html_text.main_text(f"<body>{before}<div>{short}</div>{after}</body>")
+        assert all(f"Line {k} says what was seen on the road." in text for k in range(40))
+
+
+def test_labelled_pages_keep_their_main_text():
+    for parts in html_text.PAGES:
+        want = html_text.main_text("".join(part for good, part in parts if good))
+        assert html_text.main_text("".join(part for _, part in parts)) == want != ""
+
+
+@pytest.mark.parametrize("name", ["article class='post category-legal'", "article class='tag-search'", "main id='social-media'"])
+def test_class_names_do_not_lose_an_article(name):
+    text = "The road runs on past the last farm and ends at the sea."
+    page = f"<body><div class='social'>Share this</div><{name}><h1>Head</h1><p>{text}</p></{name.split()[0]}></body>"
+    assert html_text.main_text(page) == f"Head\n\n{text}"
+    assert html_text.main_text(page.replace(name, f"{name} hidden")) == ""
+
+
+def test_tags_are_negative_beside_positive_words():
+    for (kind, around), weight in html_text.weights().items():
+        if around in ("main", "plain"):
+            assert weight > 0 if kind == "word" or (kind, around) == ("link", "main") else weight < 0
+
+
 @pytest.mark.parametrize("page", [None, "", "  ", "<div class=ad>x</div>", "<nav><a>b</a></nav>", "<!-- only -->"])
 def test_pages_without_text(page):
     assert html_text.main_text(page) == ""
