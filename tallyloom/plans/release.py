@@ -84,6 +84,16 @@ def bounded_search(spark, sf_dir):
     return R.breadth_first(edges, starts, 3)
 
 
+@query()
+def whole_search(spark, sf_dir):
+    """GRF12: breadth-first search to a fixed depth from every customer, with edges over all keys."""
+    customers = table(spark, sf_dir, "customer")
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("u")).distinct()
+    o = o.crossJoin(F.broadcast(customers.agg(F.max("c_custkey").alias("top"))))  # one row
+    edges = o.select("u", (F.col("u") * 7 % F.col("top") + 1).alias("v")).union(o.select("u", (F.col("u") * 3 % F.col("top") + 1).alias("v")))
+    return R.breadth_first(edges, customers.select(F.col("c_custkey").alias("node")), 3)
+
+
 @query("""WITH a AS (SELECT lang, source, count(*) AS n FROM documents WHERE doc_id % 100 <> 7 GROUP BY 1, 2), b AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2)
 SELECT coalesce(a.lang, b.lang) AS lang, coalesce(a.source, b.source) AS source, CASE WHEN a.n IS NULL THEN 'missing' WHEN b.n IS NULL THEN 'stale' WHEN a.n = b.n THEN 'same' ELSE 'differs' END AS status FROM a FULL JOIN b ON a.lang = b.lang AND a.source = b.source""")
 def recompute_compare(spark, sf_dir):

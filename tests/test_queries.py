@@ -22,3 +22,20 @@ def test_entry_names(spark):
 
     assert set(QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_whole_search_starts_from_every_customer(spark, tmp_path):
+    customers, orders = list(range(1, 2001)), [k for k in range(1, 2001) if k % 3]
+    spark.createDataFrame([(k,) for k in customers], "c_custkey long").write.parquet(f"file://{tmp_path}/customer.parquet")
+    spark.createDataFrame([(k,) for k in orders + orders[:50]], "o_custkey long").write.parquet(f"file://{tmp_path}/orders.parquet")
+    edges = {u: {u * 7 % 2000 + 1, u * 3 % 2000 + 1} for u in orders}
+    want = set()
+    for root in customers:
+        depth, front = {root: 0}, {root}
+        for k in (1, 2, 3):
+            front = {v for u in front for v in edges.get(u, ())} - set(depth)
+            depth |= dict.fromkeys(front, k)
+        want |= {(root, node, k) for node, k in depth.items()}
+    got = [(r.root, r.node, r.depth) for r in QUERIES["whole_search"](spark, f"file://{tmp_path}").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {r for r, _, _ in got} == set(customers) and max(n for r, n, _ in got if n != r) > 1500
