@@ -77,7 +77,7 @@ def evidence_tokens(spark, sf_dir):
 w(root, node, depth) AS (SELECT c_custkey, c_custkey, 0 FROM customer WHERE c_custkey % 100 = 0 UNION SELECT root, v, depth + 1 FROM w JOIN e ON node = u WHERE depth < 3)
 SELECT root, node, min(depth) AS depth FROM w GROUP BY root, node""")
 def bounded_search(spark, sf_dir):
-    """GRF12: breadth-first search to a fixed depth."""
+    """Breadth-first search to a fixed depth."""
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("u")).distinct()
     edges = o.select("u", (F.col("u") * 7 % 1500 + 1).alias("v")).union(o.select("u", (F.col("u") * 3 % 1500 + 1).alias("v")))
     starts = table(spark, sf_dir, "customer").where("c_custkey % 100 = 0").select(F.col("c_custkey").alias("node"))
@@ -86,7 +86,7 @@ def bounded_search(spark, sf_dir):
 
 @query()
 def whole_search(spark, sf_dir):
-    """GRF12: breadth-first search to a fixed depth from every customer, with edges over all keys."""
+    """Breadth-first search to a fixed depth from every customer, with edges over all keys."""
     customers = table(spark, sf_dir, "customer")
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("u")).distinct()
     o = o.crossJoin(F.broadcast(customers.agg(F.max("c_custkey").alias("top"))))  # one row
@@ -112,7 +112,7 @@ def split_axes(spark, sf_dir):
 
 @query("""SELECT o_orderkey, array_to_string(CASE WHEN o_totalprice IS NULL THEN ['no_price'] ELSE [] END || CASE WHEN o_orderstatus = 'P' THEN ['open'] ELSE [] END || CASE WHEN date_part('month', o_orderdate) = 12 THEN ['late'] ELSE [] END, ',') AS codes FROM orders""")
 def reason_codes(spark, sf_dir):
-    """VAL14-VAL17, STR16, STR20, DER7: row-local rules as codes."""
+    """Three row-local rules on orders as codes."""
     t = table(spark, sf_dir, "orders")
     rules = [("no_price", F.col("o_totalprice").isNull()), ("open", F.col("o_orderstatus") == "P"), ("late", F.month("o_orderdate") == 12)]
     return t.select("o_orderkey", F.array_join(S.reasons(*rules), ",").alias("codes"))
