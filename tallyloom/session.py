@@ -10,7 +10,7 @@ import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _FOLDERS: list[tuple[SparkSession, str]] = []
 
@@ -65,6 +65,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(columns: list[str], *stems: str) -> list[str]:
+    """Names for temporary columns that clash with none of ``columns``: longer than all of them."""
+    longest = max(map(len, columns), default=0)
+    return [stem + "_" * max(1, longest + 1 - len(stem)) for stem in stems]
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for a broadcast where a count finds at most ``rows`` rows; any other is joined as Spark sees fit."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once for each Spark application."""
     context = spark.sparkContext
