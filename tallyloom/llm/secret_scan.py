@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyloom.session import materialize
+from tallyloom.session import bounded, fresh, materialize
 
 # The three base patterns; letters of the keywords stand in either case.
 KEYWORDS = "[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
@@ -25,6 +25,8 @@ CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 #: A value in at most so many owners and repositories looks live.
 MOST_OWNERS = 2
 MOST_REPOSITORIES = 2
+#: The added spans of so many documents at most are broadcast to the texts; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 MASK = "[SECRET]"
 SPAN = "array<struct<s:bigint,kind:int,e:bigint,value:bigint>>"
 #: Prefix sums add whole blocks of so many steps first, which keeps them far from quadratic.
@@ -97,7 +99,7 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "source") ->
     found = docs.select(*row_key(*key), "doc_id", F.col(owner).alias("owner"), F.col(repository).alias("repository"), base_spans().alias("base"), candidate_spans().alias("more"))
     found = materialize(found, "secrets")
     rows = found.where(F.size("more") > 0).select("k1", "k2", "owner", "repository", F.explode("more").alias("x")).select("k1", "k2", "owner", "repository", "x", F.col("x.value").alias("value"))
-    live = materialize(live_values(rows), "live-values")
+    live = bounded(materialize(live_values(rows), "live-values"), BROADCAST_ROWS)
     added = rows.join(live, "value", "left_semi").groupBy("k1", "k2").agg(F.array_sort(F.collect_set("x")).alias("added"))
     added = materialize(added, "added-spans")
     return found.join(added, ["k1", "k2"], "left").select("k1", "k2", "doc_id", "base", F.coalesce("added", F.expr(f"cast(array() AS {SPAN})")).alias("added"))
@@ -110,21 +112,27 @@ def told(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, owner: str = "source", repository: str = "source") -> DataFrame:
-    """``docs`` with every found span replaced by a mask and n_chars, if there, set anew."""
-    added = scan(docs, owner, repository).where(F.size("added") > 0).groupBy("k1", "k2").agg(F.first("added").alias("_added"))
-    added = materialize(added, "masked-spans").withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
-    key = [k.alias("_" + n) for n, k in zip(("k1", "k2"), row_key("doc_id", owner, repository, "text"))]
+    """``docs`` with every found span replaced by a mask and n_chars, if there, set anew.
+
+    Overlapping spans become one mask; texts without spans, nulls included, stay as they are.
+    Repeated rows get equal texts; null ids and owners are values like others. Very long texts go
+    through whole. An empty table stays empty; extra columns of any name come back unchanged.
+    """
     names = docs.columns
-    t = docs.select("*", *key, base_spans().alias("_base")).join(added, ["_k1", "_k2"], "left")
-    t = t.withColumn("_all", F.array_sort(F.concat("_base", F.coalesce("_added", F.expr(f"cast(array() AS {SPAN})")))))
+    k1, k2, base, extra, spans = fresh(names, "k1", "k2", "base", "extra", "spans")
+    added = scan(docs, owner, repository).where(F.size("added") > 0).groupBy("k1", "k2").agg(F.first("added").alias("added"))
+    added = bounded(materialize(added, "masked-spans"), BROADCAST_ROWS).withColumnsRenamed({"k1": k1, "k2": k2, "added": extra})
+    key = [k.alias(n) for n, k in zip((k1, k2), row_key("doc_id", owner, repository, "text"))]
+    t = docs.select("*", *key, base_spans().alias(base)).join(added, [k1, k2], "left")
+    t = t.withColumn(spans, F.array_sort(F.concat(base, F.coalesce(extra, F.expr(f"cast(array() AS {SPAN})")))))
     masked = F.expr(f"""
-      aggregate(_all, struct(0L AS pos, cast(array() AS array<string>) AS parts),
+      aggregate({spans}, struct(0L AS pos, cast(array() AS array<string>) AS parts),
         (a, x) -> CASE WHEN x.s >= a.pos THEN struct(x.e AS pos, concat(a.parts, array(substring(text, cast(a.pos + 1 AS int), cast(x.s - a.pos AS int)), '{MASK}')) AS parts)
                        ELSE struct(greatest(a.pos, x.e) AS pos, a.parts AS parts) END,
         a -> concat(array_join(a.parts, ''), substring(text, cast(a.pos + 1 AS int))))""")
-    t = t.withColumn("text", F.when(F.size("_all") > 0, masked).otherwise(F.col("text")))
+    t = t.withColumn("text", F.when(F.size(spans) > 0, masked).otherwise(F.col("text")))
     if "n_chars" in names:
-        t = t.withColumn("n_chars", F.when(F.size("_all") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        t = t.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return t.select(*names)
 
 
@@ -136,11 +144,11 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(told(F.col("base")), 256).alias("base_sha256"), told(every).alias("spans"))
 
 
+# Starts are running sums over the unnested matches and the gaps before them.
 _ORACLE_KIND = """
-  SELECT doc_id, source, {kind} AS kind, i, m, v, gaps,
-         list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS s
-  FROM (SELECT doc_id, source, ms, string_split_regex(text, '{pattern}') AS gaps, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS m, unnest(vs) AS v
-        FROM (SELECT doc_id, source, text, regexp_extract_all(text, '{pattern}') AS ms, regexp_extract_all(text, '{pattern}', {group}) AS vs FROM docs))
+  SELECT row, doc_id, source, {kind} AS kind, i, m, v, sum(length(gap) + length(m)) OVER (PARTITION BY row ORDER BY i) - length(m) AS s
+  FROM (SELECT row, doc_id, source, generate_subscripts(ms, 1) AS i, unnest(ms) AS m, unnest(vs) AS v, unnest(gaps[1:len(ms)]) AS gap
+        FROM (SELECT row, doc_id, source, regexp_extract_all(text, '{pattern}') AS ms, regexp_extract_all(text, '{pattern}', {group}) AS vs, string_split_regex(text, '{pattern}') AS gaps FROM docs))
 """
 
 
@@ -148,22 +156,22 @@ def _oracle() -> str:
     kinds = ((ASSIGN, 2), (ACCESS, 0), (HEX, 0), (CANDIDATE, 0))
     found = " UNION ALL ".join(_ORACLE_KIND.format(kind=k, pattern=p.replace("'", "''"), group=g) for k, (p, g) in enumerate(kinds))
     return f"""
-WITH docs AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS text FROM documents),
 found AS ({found}),
 kept AS (
   SELECT * FROM found WHERE (kind = 0 AND length(v) >= {LEAST_ASSIGN}) OR (kind = 1 AND length(m) >= {LEAST_ACCESS}) OR (kind = 2 AND length(m) >= {LEAST_HEX})
      OR (kind = 3 AND regexp_matches(m, '[A-Za-z]') AND regexp_matches(m, '[0-9]') AND NOT regexp_matches(m, '^[0-9a-f]+$'))),
 live AS (SELECT v FROM kept WHERE kind = 3 GROUP BY v HAVING count(DISTINCT coalesce(source, chr(1))) <= {MOST_OWNERS}),
 shown AS (
-  SELECT doc_id, kind, s, s + length(m) AS e, {list(KINDS)}[kind + 1] || ':' || CAST(s AS BIGINT) || ':' || CAST(s + length(m) AS BIGINT) AS told
+  SELECT row, kind, s, s + length(m) AS e, {list(KINDS)}[kind + 1] || ':' || CAST(s AS BIGINT) || ':' || CAST(s + length(m) AS BIGINT) AS told
   FROM kept WHERE kind < 3 OR v IN (SELECT v FROM live)),
 grouped AS (
-  SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  SELECT row, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
          coalesce(string_agg(told, ',' ORDER BY s, kind) FILTER (kind < 3), '') AS base, string_agg(told, ',' ORDER BY s, kind) AS spans
-  FROM shown GROUP BY doc_id)
+  FROM shown GROUP BY row)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
-FROM docs d LEFT JOIN grouped g ON d.doc_id = g.doc_id
+FROM docs d LEFT JOIN grouped g ON d.row = g.row
 """
 
 
