@@ -11,6 +11,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tallyloom.session import fresh
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Runs of letters, digits and underscores, or runs of other visible characters.
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\x20\x09-\x0D]+"
@@ -66,9 +68,10 @@ def gram_buckets(text: str = "text") -> Column:
     return F.expr(_let(found, "c", f"concat({single}, {pair})"))
 
 
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """(bucket, n) over all texts; at most ``2 * BUCKETS`` rows, combined map-side."""
-    return docs.select(F.explode(gram_buckets()).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+def gram_counts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(bucket, r, t) over all texts and over the chosen ones, in one pass; at most ``2 * BUCKETS`` rows, combined map-side."""
+    told = docs.join(chosen.select(F.col("doc_id"), F.lit(1).alias("mark")), "doc_id", "left")
+    return told.select("mark", F.explode(gram_buckets()).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("r"), F.count("mark").alias("t"))
 
 
 def trusted(labels: DataFrame) -> DataFrame:
@@ -83,10 +86,7 @@ def weights(docs: DataFrame, labels: DataFrame) -> list[int] | None:
     Counts are over whole texts of all rows; the driver sees one number for each bucket.
     """
     chosen = F.broadcast(trusted(labels))  # at most TRUSTED_ROWS ids
-    raw = gram_counts(docs)
-    target = gram_counts(docs.join(chosen, "doc_id", "left_semi"))
-    both = raw.withColumnRenamed("n", "r").join(target.withColumnRenamed("n", "t"), "bucket", "left").na.fill(0, ["t"])
-    counts = {row.bucket: (row.t, row.r) for row in both.collect()}
+    counts = {row.bucket: (row.t, row.r) for row in gram_counts(docs, chosen).collect()}
     t_all, r_all = sum(t for t, _ in counts.values()), sum(r for _, r in counts.values())
     if not t_all:
         return None
@@ -98,21 +98,23 @@ def weights(docs: DataFrame, labels: DataFrame) -> list[int] | None:
 RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
 
 
-def _judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with the result columns under names that begin with "_q_"."""
+def _judged(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with the result columns, and the names under which they stand."""
     values = weights(docs.select("doc_id", "text"), labels)
-    c = F.col
-    t = docs.select("*", *[f.alias("_q" + name) for f, name in zip(base_features(), ("_words", "_n_symbols", "_n_dup_lines"))])
-    t = t.withColumns({"_q_n_words": c("_q_words.n").cast("long"), "_q_word_chars": c("_q_words.c"), "_q_n_repeat_words": c("_q_words.r").cast("long")}).drop("_q_words")
-    failed = (c("_q_n_words") < MIN_WORDS) | (100 * c("_q_n_repeat_words") > MAX_REPEAT_PERCENT * c("_q_n_words"))
-    t = t.withColumn("_q_base_failed", failed)
+    name = dict(zip((*RESULTS, "words", "grams"), fresh(docs.columns, *RESULTS, "words", "grams")))
+    c = lambda n: F.col(name[n])
+    w = F.col(name["words"])
+    t = docs.select("*", *[f.alias(name[n]) for f, n in zip(base_features(), ("words", "n_symbols", "n_dup_lines"))])
+    t = t.withColumns({name["n_words"]: w["n"].cast("long"), name["word_chars"]: w["c"], name["n_repeat_words"]: w["r"].cast("long")}).drop(name["words"])
+    failed = (c("n_words") < MIN_WORDS) | (100 * c("n_repeat_words") > MAX_REPEAT_PERCENT * c("n_words"))
+    t = t.withColumn(name["base_failed"], failed)
     if values is None:
-        return t.withColumn("_q_score", F.lit(None).cast("double")).withColumn("_q_kept", ~c("_q_base_failed"))
+        return t.withColumn(name["score"], F.lit(None).cast("double")).withColumn(name["kept"], ~c("base_failed")), name
     table = F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")  # a constant of bounded size
-    total = F.aggregate("_q_grams", F.lit(0).cast("long"), lambda a, b: a + F.get(table, b))
-    t = t.withColumn("_q_grams", gram_buckets())
-    t = t.withColumn("_q_score", F.when(F.size("_q_grams") > 0, total / F.size("_q_grams") / UNIT)).drop("_q_grams")
-    return t.withColumn("_q_kept", ~c("_q_base_failed") & F.coalesce(c("_q_score") >= THRESHOLD, F.lit(True)))
+    total = F.aggregate(name["grams"], F.lit(0).cast("long"), lambda a, b: a + F.get(table, b))
+    t = t.withColumn(name["grams"], gram_buckets())
+    t = t.withColumn(name["score"], F.when(F.size(name["grams"]) > 0, total / F.size(name["grams"]) / UNIT)).drop(name["grams"])
+    return t.withColumn(name["kept"], ~c("base_failed") & F.coalesce(c("score") >= THRESHOLD, F.lit(True))), name
 
 
 def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -120,16 +122,17 @@ def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     ``score`` is the mean ratio in nats (null without n-grams or without trusted documents, and
     then it rejects nothing). Null texts count as empty and fail the base rule. Rows are judged
-    each for itself: repeated rows, null ids and ties are kept apart; an empty table stays empty.
-    Result columns replace columns of the same names.
+    each for itself and whole, however long: repeated rows, null ids and ties are kept apart; an
+    empty table stays empty. Result columns replace columns of the same names.
     """
-    t = _judged(docs, labels).drop(*RESULTS)
-    return t.withColumnsRenamed({"_q_" + name: name for name in RESULTS})
+    t, name = _judged(docs, labels)
+    return t.drop(*RESULTS).withColumnsRenamed({name[n]: n for n in RESULTS})
 
 
 def drop_failing(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with the columns of ``docs``."""
-    return _judged(docs, labels).where("_q_kept").select(*docs.columns)
+    """The rows of ``docs`` that are kept, with the columns of ``docs``; edge cases as in :func:`assess`."""
+    t, name = _judged(docs, labels)
+    return t.where(F.col(name["kept"])).select(*docs.columns)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
