@@ -9,6 +9,9 @@ reach the threshold are verified on their full sets.
 Pairs in a band are taken in two steps, so that a large group never becomes all its pairs: first
 every member against the least member, then, after components are formed, only members of
 different components, whose registers agree well enough.
+
+Only classes are nodes of the graph, under a hash of their set; documents take the component of
+their class in one last join, so a large group of copies is never gathered.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyloom.llm import shingles
 from tallyloom.operators.graph import connected_components
-from tallyloom.session import map_batches, materialize
+from tallyloom.session import bounded, fresh, map_batches, materialize
 
 SHINGLE = 5
 REGISTERS = 512
@@ -33,31 +36,51 @@ ROWS_85, BANDS_85 = 5, 25
 ROWS_80, BANDS_80 = 4, 32
 #: A pair goes to verification unless its estimate is this many standard deviations below the threshold.
 MARGIN = 4.0
+#: Tables of keys with at most so many rows are broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 SIGNED = "doc_id long, k1 long, k2 long, n_shingles long, set1 long, set2 long, bands array<long>, registers binary, bits array<long>"
 
 
 def sketch(grams: np.ndarray, owner: np.ndarray, n: int, registers: int = REGISTERS) -> np.ndarray:
     """SetSketch registers of ``n`` sets given as (element hash, owner) arrays: an (n, registers) array.
 
-    Each element is a Poisson process of arrivals dealt to random registers, which gives every
-    register an independent exponential variable; arrivals later than all of a set's minima stop it.
+    Every element reaches each register once, in an order of its own and at ascending times: its
+    k-th arrival lies in the k-th of ``registers`` equally likely parts of an exponential variable.
+    A set needs only so many arrivals of its elements as may still be the first at some register.
     """
-    least = np.full(n * registers, np.inf)
-    state, at, who = grams.copy(), np.zeros(len(grams)), owner
-    scale = 1.0 / (RATE * registers)
-    rounds = 0
-    while len(state):
-        state = shingles.mix(state + np.uint64(0x9E3779B97F4A7C15))
-        at = at - np.log(((state >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) * scale
-        place = who * registers + (shingles.mix(state ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(registers)).astype(np.int64)
-        np.minimum.at(least, place, at)
-        rounds += 1
-        if rounds >= 2:
-            latest = least.reshape(n, registers).max(axis=1)
-            alive = at < latest[who]
-            state, at, who = state[alive], at[alive], who[alive]
-    with np.errstate(divide="ignore"):
-        values = np.floor(1.0 - np.log(least) / math.log(BASE))
+    least = np.full(n * registers, np.iinfo(np.uint64).max, dtype=np.uint64)
+    if len(grams):
+        bits, low = np.uint64(registers.bit_length() - 1), np.uint32(registers - 1)
+        sizes = np.bincount(owner, minlength=n)
+        # enough arrivals of each element for nearly all sets; the others go on
+        upto = np.clip(np.ceil(registers * -np.expm1(-(math.log(registers) + 2.0) / np.maximum(sizes, 1))), 1, registers).astype(np.int64)
+        done = np.zeros(n, dtype=np.int64)
+        open_sets = np.flatnonzero(sizes > 0)
+        state, who = grams, owner
+        while len(open_sets):
+            count = (upto - done)[who]
+            ends = np.cumsum(count)
+            row = np.repeat(np.arange(len(who), dtype=np.int32), count)
+            k = np.arange(ends[-1]) - np.repeat(ends - count - done[who], count)
+            order = shingles.mix(state ^ np.uint64(0xA0761D6478BD642F))
+            key = (order[:, None] >> np.array([0, 16, 32, 48], dtype=np.uint64)).astype(np.uint32)
+            small = k.astype(np.uint32)
+            place = (small * (key[row, 0] | np.uint32(1)) + key[row, 1]) & low
+            place ^= place >> np.uint32(4)
+            place = (place * (key[row, 2] | np.uint32(1)) + key[row, 3]) & low
+            wide = k.astype(np.uint64)
+            time = shingles.mix(state[row] + wide * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(bits + np.uint64(1))
+            time |= wide << (np.uint64(63) - bits)
+            np.minimum.at(least, who[row] * registers + place, time)
+            done = upto
+            latest = least.reshape(n, registers)[open_sets].max(axis=1) >> (np.uint64(63) - bits)
+            open_sets = open_sets[(latest.astype(np.int64) >= done[open_sets]) & (done[open_sets] < registers)]
+            upto = np.minimum(2 * done, registers)
+            on = np.isin(who, open_sets)
+            state, who = state[on], who[on]
+    with np.errstate(divide="ignore", over="ignore"):
+        arrival = -np.log1p(-np.minimum(least.astype(np.float64) * 2.0**-63, 1 - 2.0**-53)) / RATE
+        values = np.floor(1.0 - np.log(arrival) / math.log(BASE))
     return np.clip(values, 0, TOP + 1).reshape(n, registers).astype(np.uint16)
 
 
@@ -170,75 +193,99 @@ def _plausible(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame
                 keep = pa.array(pair_similarity(ra, rb, na, nb) >= floor)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    side = lambda s: reps.select(F.col("doc_id").alias(s), F.col("n_shingles").alias("n" + s), F.col("registers").alias("r" + s))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ra", "rb")
+    side = lambda s: reps.select(F.col("node").alias(s), F.col("n_shingles").alias("n" + s), F.col("registers").alias("r" + s))
+    # the first of a pair may have many partners: its registers come last, where a skewed join can be split
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "ra", "rb")
     # sizes alone bound the similarity
     near = both.where(F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9)
     return map_batches(near, judge, "a long, b long")
 
 
-def exact_shingles(text: str | None) -> set[bytes]:
-    """The distinct shingles themselves."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if len(words) < SHINGLE:
-        return {b" ".join(words)} if words else set()
-    return {b" ".join(words[k : k + SHINGLE]) for k in range(len(words) - SHINGLE + 1)}
+def _grams(text: str = "text") -> F.Column:
+    """The set of a text as an array of 64-bit hashes of its distinct shingles."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = f"regexp_extract_all(translate(coalesce({text}, ''), '{upper}', '{upper.lower()}'), '[^\\\\x20\\\\x09-\\\\x0D]+', 0)"
+    runs = "array_distinct(transform(slice(w, 1, size(w) - 4), (x, i) -> xxhash64(x, w[i + 1], w[i + 2], w[i + 3], w[i + 4])))"
+    whole = "IF(size(w) = 0, cast(array() AS array<bigint>), array(xxhash64(array_join(w, ' '))))"
+    return F.expr(f"element_at(transform(array({words}), w -> IF(size(w) < {SHINGLE}, {whole}, {runs})), 1)")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with 100 * |intersection| >= percent * |union| on the full sets."""
+def _sets(pairs: DataFrame, reps: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(node, grams) of the classes that stand in candidate pairs: the full sets, from one text of each class."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = bounded(materialize(wanted.join(reps.select("node", "k1", "k2"), "node"), "wanted-sets"), BROADCAST_ROWS)
+    # rows with these keys are equal texts
+    return materialize(keyed.join(wanted, ["k1", "k2"]).dropDuplicates(["node"]).select("node", _grams().alias("grams")), "full-sets")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, left = None, set()
-        for batch in batches:
-            a, b, keep = batch.column(0), batch.column(1), []
-            for k in range(batch.num_rows):
-                if a[k].as_py() != last:
-                    last, left = a[k].as_py(), exact_shingles(batch.column(2)[k].as_py())
-                right = exact_shingles(batch.column(3)[k].as_py())
-                both = len(left & right)
-                keep.append(100 * both >= percent * (len(left) + len(right) - both))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
 
-    side = lambda s: texts.select(F.col("doc_id").alias(s), F.col("text").alias("t" + s))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
-    return map_batches(both, verify, "a long, b long")
+def _verified(pairs: DataFrame, reps: DataFrame, keyed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) with 100 * |intersection| >= percent * |union| on the full sets."""
+    sets = _sets(pairs, reps, keyed)
+    side = lambda s: sets.select(F.col("node").alias(s), F.col("grams").alias("g" + s))
+    # the first of a pair may have many partners: its set comes last, where a skewed join can be split
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    common = F.size(F.array_intersect("ga", "gb"))
+    return both.where(100 * common >= percent * (F.size("ga") + F.size("gb") - common)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """(k1, k2, doc_id, n_shingles, component_id, kept), one row per document.
-
-    ``docs`` needs doc_id and text; other columns are ignored. Null and empty texts have no
-    shingles and link with nothing. Documents with null doc_id are signed but take no part in
-    links; their component is null and they are kept. Repeated rows share a doc_id and hence a
-    component. Exact copies form a class under their smallest doc_id; only classes are compared.
-    An empty table gives an empty table.
-    """
+def _signed_classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(keyed texts, signatures, one row for each class under its node)."""
     rows, bands = (ROWS_85, BANDS_85) if percent >= 85 else (ROWS_80, BANDS_80)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    keyed = keyed.select("*", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit("second"), "doc_id", "text").alias("k2"))
+    node = F.when(F.col("n_shingles") > 0, F.xxhash64("set1", "set2", "n_shingles"))
+    signed = materialize(signatures(keyed, rows, bands).withColumn("node", node), "signatures")
+    # combined on the map side first: the copies of a class leave a task as one row
+    shared = F.struct("k1", "k2", "n_shingles", "registers", "bits", "bands")
+    reps = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min_by(shared, F.struct("k1", "k2")).alias("x"))
+    return keyed, signed, materialize(reps.select("node", "least_id", "x.*"), "representatives")
+
+
+def _linked(reps: DataFrame, keyed: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of the classes that are linked with another one."""
     threshold = percent / 100
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit("second"), "doc_id", "text").alias("k2"))
-    signed = materialize(signatures(keyed, rows, bands), "signatures")
-    usable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = usable.groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("class_id"))
-    # a representative's row holds what its class shares, so any row of that id and set will do
-    reps = usable.join(classes.select("set1", "set2", F.col("class_id").alias("doc_id")), ["set1", "set2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "set1", "set2"])
-    slim = reps.select("doc_id", F.posexplode("bands").alias("band", "value"))
-    least = slim.groupBy("band", "value").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1")
+    slim = reps.select("node", F.posexplode("bands").alias("band", "value"))
+    least = slim.groupBy("band", "value").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
     shared = materialize(slim.join(least.drop("n"), ["band", "value"]), "shared-bands")  # members of bands with company
-    reps = materialize(reps.select("doc_id", "n_shingles", "registers", "bits", "bands").dropDuplicates(["doc_id"]), "representatives")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    star = shared.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-    links = materialize(_verified(materialize(_plausible(star, reps, threshold), "plausible"), texts, percent), "links")
+    star = shared.where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    links = materialize(_verified(materialize(_plausible(star, reps, threshold), "plausible"), reps, keyed, percent), "links")
     labels = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     more = materialize(_crossing(shared, reps, labels, threshold), "crossing").join(links, ["a", "b"], "left_anti")
-    added = materialize(_verified(materialize(_plausible(more, reps, threshold), "plausible"), texts, percent), "links")
-    same_id = usable.join(classes, ["set1", "set2", "n_shingles"]).where("doc_id <> class_id").select(F.col("doc_id").alias("u"), F.col("class_id").alias("v"))
+    added = materialize(_verified(materialize(_plausible(more, reps, threshold), "plausible"), reps, keyed, percent), "links")
     edges = labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(added.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    final = connected_components(edges.unionByName(same_id))
-    out = signed.select("k1", "k2", "doc_id", "n_shingles").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    own = F.coalesce("component", "doc_id")
-    return out.select("k1", "k2", "doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    return edges
+
+
+def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Signatures, and (node, part, component_id) of the classes that have a company or a component of several ids."""
+    keyed, signed, reps = _signed_classes(docs, percent)
+    edges = _linked(reps, keyed, percent)
+    # an id that stands by several texts connects their classes
+    homes = signed.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("v")).where("u <> v")
+    split = signed.where("node IS NOT NULL").join(homes.select("doc_id", "u"), "doc_id").select("u", F.col("node").alias("v"))
+    labels = connected_components(edges.unionByName(split))
+    ids = reps.select("node", "least_id").join(labels, "node")
+    least = ids.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    named = ids.join(least, "component").select("node", F.col("component").alias("part"), "component_id")
+    alone = reps.select("node", "least_id").join(labels.select("node"), "node", "left_anti")
+    return signed, named.unionByName(alone.select("node", F.col("node").alias("part"), F.col("least_id").alias("component_id")))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """(k1, k2, doc_id, n_shingles, component_id, kept), one row per document.
+
+    ``docs`` needs doc_id and text; other columns are ignored. Null and empty texts have no
+    shingles and link with nothing. Texts without doc_id take part in links like others, but their
+    ids name no component: a component without any id is null, and its rows are kept. Rows that
+    share a doc_id share a component, also where their texts differ. Very long texts go through in
+    one piece; the set of one text must fit in a worker. Components are named by their smallest
+    doc_id, so there are no ties. An empty table gives an empty table.
+    """
+    signed, parts = _grouped(docs, percent)
+    parts = materialize(parts, "document-groups")
+    out = signed.select("k1", "k2", "doc_id", "n_shingles", "node").join(parts, "node", "left")
+    own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("k1", "k2", "doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, own.isNull()).alias("kept"))
 
 
 def _crossing(shared: DataFrame, reps: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
@@ -248,28 +295,42 @@ def _crossing(shared: DataFrame, reps: DataFrame, labels: DataFrame, threshold:
     pair that fails it becomes a row, and a pair that shares several bands is one only in the
     first; skewed bands are split by adaptive execution.
     """
-    part = labels.withColumnRenamed("node", "doc_id")
-    told = shared.join(part, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    told = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = told.groupBy("band", "value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "value")
-    rows = told.drop("a").join(mixed, ["band", "value"]).join(reps.select("doc_id", "n_shingles", "bits", "bands"), "doc_id")
-    rows = materialize(rows.select("band", "value", "doc_id", "component", "n_shingles", "bits", "bands"), "mixed-bands")
+    rows = told.drop("a").join(mixed, ["band", "value"]).join(reps.select("node", "n_shingles", "bits", "bands"), "node")
+    rows = materialize(rows.select("band", "value", "node", "component", "n_shingles", "bits", "bands"), "mixed-bands")
     words = 2 * REGISTERS // 64
     differ = " + ".join(f"bit_count(((x.bits[{k}] ^ y.bits[{k}]) | shiftrightunsigned(x.bits[{k}] ^ y.bits[{k}], 1)) & 6148914691236517205L)" for k in range(words))
     # two bits of different values agree by chance one time in four
     agree = threshold + (1 - threshold) / 4
     most = REGISTERS * (1 - agree) + MARGIN * math.sqrt(REGISTERS * agree * (1 - agree))
-    condition = f"x.band = y.band AND x.value = y.value AND x.component <> y.component AND x.doc_id < y.doc_id AND least(x.n_shingles, y.n_shingles) >= {threshold} * greatest(x.n_shingles, y.n_shingles) - 1e-9D AND {differ} <= {int(most)} AND (x.band = 0 OR NOT exists(sequence(1, x.band), k -> x.bands[k - 1] = y.bands[k - 1]))"
-    pairs = rows.alias("x").join(rows.alias("y"), F.expr(condition)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-    return pairs
+    condition = f"x.band = y.band AND x.value = y.value AND x.component <> y.component AND x.node < y.node AND least(x.n_shingles, y.n_shingles) >= {threshold} * greatest(x.n_shingles, y.n_shingles) - 1e-9D AND {differ} <= {int(most)} AND (x.band = 0 OR NOT exists(sequence(1, x.band), k -> x.bands[k - 1] = y.bands[k - 1]))"
+    return rows.alias("x").join(rows.alias("y"), F.expr(condition)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest doc_id (all rows without doc_id stay).
+    """``docs`` with one row of each group of near copies: the one with the smallest doc_id.
 
-    Of several rows with that doc_id one stays.
+    Rows without words are no copies and all stay. Of several rows with the smallest doc_id, or of
+    a group without any id, the one with the least hash of id and text stays; where these are
+    repeated too, one with the least hash of all columns.
     """
-    gone = near_duplicates(docs, percent).where("NOT kept").select("doc_id").distinct()
-    return docs.join(materialize(gone, "dropped"), "doc_id", "left_anti").select(*docs.columns)
+    signed, parts = _grouped(docs, percent)
+    rows = signed.where("node IS NOT NULL").groupBy("node", "k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    rows = materialize(rows.join(parts.select("node", "part"), "node").select("part", "k1", "k2", "doc_id", "n"), "group-rows")
+    best = rows.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("x")).select("x.k1", "x.k2")
+    best = materialize(best, "group-heads")
+    gone = bounded(materialize(rows.select("k1", "k2").join(best, ["k1", "k2"], "left_anti"), "dropped"), BROADCAST_ROWS)
+    twice = materialize(rows.where("n > 1").select("k1", "k2").join(best, ["k1", "k2"], "left_semi"), "repeated-rows")
+    names = fresh(docs.columns, "k1", "k2", "h")
+    keys = [F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias(names[0]), F.xxhash64(F.lit("second"), F.col("doc_id").cast("long"), F.col("text").cast("string")).alias(names[1])]
+    on = lambda t: t.withColumnsRenamed({"k1": names[0], "k2": names[1]})
+    left = docs.select("*", *keys).join(on(gone), names[:2], "left_anti")
+    if twice.isEmpty():
+        return left.select(*docs.columns)
+    several = left.join(on(twice), names[:2], "left_semi").withColumn(names[2], F.xxhash64(F.to_json(F.struct(*docs.columns))))
+    one = several.groupBy(*names[:2]).agg(F.min_by(F.struct(*docs.columns), names[2]).alias("x")).select("x.*")
+    return left.join(on(twice), names[:2], "left_anti").select(*docs.columns).unionByName(one)
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

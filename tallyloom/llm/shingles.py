@@ -11,6 +11,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of text that are hashed in one go, about; a longer text goes alone.
 CHUNK_BYTES = 1 << 20
+CHUNK_ROWS = 512
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -63,11 +64,11 @@ def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
-def chunks(texts: list[bytes]):
-    """(first, last) ranges of texts of about ``CHUNK_BYTES``."""
+def chunks(texts: list[bytes], rows: int = CHUNK_ROWS):
+    """(first, last) ranges of texts of about ``CHUNK_BYTES``, and of at most ``rows`` texts."""
     first, size = 0, 0
     for k, text in enumerate(texts):
-        if size and size + len(text) > CHUNK_BYTES:
+        if k > first and (size + len(text) > CHUNK_BYTES or k - first >= rows):
             yield first, k
             first, size = k, 0
         size += len(text) + 1
