@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tallyloom.llm import shingles
-from tallyloom.session import map_batches, materialize
+from tallyloom.session import fresh, map_batches, materialize
 
 #: Words in the shortest passage that is found.
 PASSAGE = 50
@@ -140,8 +140,6 @@ def repeats(docs: DataFrame, passage: int = PASSAGE, run: int = RUN) -> DataFram
     items = materialize(items.join(materialize(shared, "shared-runs"), "key", "left_semi"), "matched-suffixes")
     stretches = items.groupBy("key", "stretch").agg(F.min(F.struct("doc_id", "a", "n")).alias("first"), F.max("doc_id").alias("high"))
     stretches = materialize(stretches.select("key", "stretch", "first", "high", F.col("first.doc_id").alias("low"), (F.col("first.doc_id") == F.col("high")).alias("single")), "stretches")
-    # equal stretches: the match reaches over all their windows
-    whole = items.join(stretches.where("NOT single").select("key", "stretch", "low"), ["key", "stretch"])
     # runs with several stretches are compared window by window, one example of each shared stretch standing for all
     mixed = materialize(stretches.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "mixed-runs")
     ends = items.join(stretches.where("single").select("key", "stretch"), ["key", "stretch"], "left_semi")
@@ -158,10 +156,14 @@ def repeats(docs: DataFrame, passage: int = PASSAGE, run: int = RUN) -> DataFram
     # windows of a shared stretch that an earlier document has in another stretch
     earlier = windows.where("NOT single").join(found, "window").where("least < low").select("key", "stretch", "at", "least")
     earlier = materialize(earlier.distinct(), "earlier-windows")
-    moved = earlier.select("key", "stretch").distinct()
-    split = whole.join(moved, ["key", "stretch"], "left_semi").select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at"))
+    moved = earlier.select("key", "stretch", F.lit(True).alias("moved")).distinct()
+    # equal stretches: the match reaches over all their windows. The join is written as it comes,
+    # so that one that all rows share can be split over tasks.
+    ready = materialize(stretches.where("NOT single").select("key", "stretch", "low").join(moved, ["key", "stretch"], "left"), "shared-stretches")
+    told = materialize(items.join(ready, ["key", "stretch"]).select("key", "stretch", "doc_id", "a", "n", "low", "moved"), "matched-stretches")
+    split = told.where("moved").select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at"))
     split = split.join(earlier, ["key", "stretch", "at"], "left").select("doc_id", (F.col("a") + F.col("at")).alias("s"), F.lit(1).alias("n"), F.least("low", "least").alias("low"))
-    whole = whole.join(moved, ["key", "stretch"], "left_anti").select("doc_id", F.col("a").alias("s"), "n", "low")
+    whole = told.where("moved IS NULL").select("doc_id", F.col("a").alias("s"), "n", "low")
     part = part.unionByName(split)
     marks = whole.unionByName(part).select("doc_id", (F.col("low") < F.col("doc_id")).alias("later"), "s", (F.col("s") + F.col("n") - 1 + passage).alias("e"))
     return _merged(marks.distinct(), passage)
@@ -184,10 +186,16 @@ def _merged(marks: DataFrame, passage: int) -> DataFrame:
 
 
 def cut_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` without the words of ``later`` stretches; what follows a cut word's white space stays."""
-    lists = spans.where("later").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("_cuts"))
+    """``docs`` without the words of ``later`` stretches; what follows a cut word's white space stays.
+
+    Null ids and texts, and texts without stretches, stay as they are; repeated rows are cut alike.
+    Overlapping stretches are cut once; an empty table stays empty, and columns of any name come
+    back unchanged.
+    """
+    [mark] = fresh(docs.columns, "cuts")
+    lists = spans.where("later").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias(mark))
     joined = docs.join(lists, "doc_id", "left")
-    at = joined.columns.index("text"), joined.columns.index("_cuts")
+    at = joined.columns.index("text"), joined.columns.index(mark)
     schema = docs.schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,11 +214,11 @@ def cut_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
                     text = "".join(kept) + text[last:]
                 out.append(text)
             columns = [pa.array(out, pa.string()) if k == at[0] else c for k, c in enumerate(batch.columns) if k != at[1]]
-            yield pa.RecordBatch.from_arrays(columns, names=[n for n in batch.schema.names if n != "_cuts"])
+            yield pa.RecordBatch.from_arrays(columns, names=[n for n in batch.schema.names if n != mark])
 
     from pyspark.sql.types import StructType
 
-    order = [c for c in joined.columns if c != "_cuts"]
+    order = [c for c in joined.columns if c != mark]
     return map_batches(joined, cut, StructType([schema[c] for c in order])).select(*docs.columns)
 
 
