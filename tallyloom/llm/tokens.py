@@ -1,7 +1,7 @@
 """Token ids from a public tokenizer file, with a bounded memory of pieces.
 
-The vocabulary splits a text before each single space that is followed by a non-space, and then
-by its own pattern; no merge crosses such a cut. So the ids of a piece are remembered, and each
+The vocabulary splits a text before each single space that is followed by a non-space, around
+single line ends, and then by its own pattern; no merge crosses such a cut. So the ids of a piece are remembered, and each
 distinct word goes through the tokenizers library's model once in a worker's memory. Texts with a
 piece whose cut is not certain (special tokens, characters outside the plain Latin range, runs of
 white space that begin with a space) go to the library whole.
@@ -9,14 +9,15 @@ white space that begin with a space) go to the library whole.
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
 import regex
 
 END_ID = 2
-#: Remembered pieces and words in one Python worker; a memory is emptied when it is full.
-PIECES, WORDS = 700_000, 300_000
+#: Pieces and words that came twice, and those that came once, in one Python worker's memory; a full memory is emptied.
+PIECES, FRESH = 600_000, 400_000
 
 # The vocabulary's split pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -39,61 +40,90 @@ def byte_names() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def _known_splits(path: str) -> bool:
+    """Whether the file splits texts by :data:`PATTERN` on bytes and has no other rules."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    before = spec.get("pre_tokenizer") or {}
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    model = spec.get("model", {})
+    return bool(plain and not spec.get("normalizer") and special <= {"<|endoftext|>"} and model.get("type") == "BPE" and not model.get("dropout"))
+
+
 class Encoder:
+    """Ids of texts. A file with other rules than the known ones goes through the library alone."""
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.known = _known_splits(path)
         self.names = byte_names()
         self.packed = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
         self.split, self.unsure = regex.compile(PATTERN), regex.compile(UNSURE)
         self.pieces: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
+        self.fresh: dict[str, bytes] = {}
+        self.tokenize, self.space = self.model.tokenize, self.names[32]
+        # a line end is a piece of its own, unless it is in one of these runs of white space
+        self.uncut = ("\n\n\n", "\n\n ", "\n\t", "\t\n", "\r")
+        self.ends = {mark: self._word(mark) for mark in ".,;:!?"} if self.known else {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) >= WORDS:
-                self.words.clear()
+        """Ids of a word: remembered ones, or those of the library's model."""
+        found = self.pieces.get(word) or self.fresh.get(word)
+        if not found:
             # most words are ASCII letters, perhaps after a space, which has a name of its own
-            named = word.replace(" ", self.names[32]) if word.isascii() and word[-1].isalpha() else word.encode().decode("latin-1").translate(self.names)
+            named = word.replace(" ", self.space) if word.isascii() and word[-1].isalpha() else word.encode().decode("latin-1").translate(self.names)
             packed = self.packed
-            found = self.words[word] = b"".join([packed[t.id] for t in self.model.tokenize(named)])
+            found = self.fresh[word] = b"".join([packed[t.id] for t in self.tokenize(named)])
+        return found
+
+    def _piece(self, part: str) -> bytes:
+        """Ids of a piece that is not in the lasting memory; one that came before goes there."""
+        found = self.fresh.pop(part, None)
+        if found is not None:
+            if len(self.pieces) >= PIECES:
+                self.pieces.clear()
+                self.pieces[""] = b""
+            self.pieces[part] = found
+            return found
+        if len(self.fresh) >= FRESH:
+            self.fresh.clear()
+        letters = part[0] == " " or part[0].isalpha()
+        if letters and part[1:].isalpha():
+            return self._word(part)
+        if letters and part[1:-1].isalpha() and part[-1] in self.ends:
+            found = self._word(part[:-1]) + self.ends[part[-1]]
+        else:
+            found = b"".join([self._word(w) for w in self.split.findall(part)])
+        self.fresh[part] = found
         return found
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers, without the end id."""
         if not text:
             return b""
-        if "\0" in text:
+        if not self.known or "\0" in text or ("\n" in text and any(run in text for run in self.uncut)) or text.endswith("\n\n"):
             return self.whole(text)
-        parts = text.replace(" ", "\0 ").split("\0")
-        pieces = self.pieces
-        try:
-            return b"".join([pieces[p] for p in parts])
-        except KeyError:
-            pass
+        parts = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        got = list(map(self.pieces.get, parts))
+        if None not in got:
+            return b"".join(got)
         if text[-1] == " " or any(pair in text for pair in ("  ", " \n", " \t", " \r")):
             return self.whole(text)
-        new = [p for p in parts if p not in pieces]
-        if self.unsure.search("\n".join(new)):
+        new = [k for k, ids in enumerate(got) if ids is None]
+        if self.unsure.search("\n".join([parts[k] for k in new])):
             return self.whole(text)
-        if len(pieces) + len(new) > PIECES:
-            pieces.clear()
-            pieces[""] = b""
-            new = parts[1:] if not parts[0] else parts
-        word, split = self._word, self.split.findall
-        for part in new:
-            if part[1:].isalpha() and (part[0] == " " or part[0].isalpha()):
-                pieces[part] = word(part)
-            else:
-                pieces[part] = b"".join([word(w) for w in split(part)])
-        return b"".join([pieces[p] for p in parts])
+        piece = self._piece
+        for k in new:
+            got[k] = piece(parts[k])
+        return b"".join(got)
 
 
 def encoder(path: str) -> Encoder:
