@@ -12,6 +12,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+#: Rows that go to a Python worker at once.
+BATCH_ROWS = 1_000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _FOLDERS: list[tuple[SparkSession, str]] = []
 
 
@@ -33,14 +36,20 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder, removed when the driver ends."""
     path = f"{shared_folder(spark)}/tallyloom/{label}-{uuid.uuid4().hex}"
-    if not _FOLDERS:
+    if not #: Rows that go to a Python worker at once.
+BATCH_ROWS = 1_000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_FOLDERS:
         atexit.register(_remove)
     _FOLDERS.append((spark, path))
     return path
 
 
 def _remove() -> None:
-    for spark, path in _FOLDERS:
+    for spark, path in #: Rows that go to a Python worker at once.
+BATCH_ROWS = 1_000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_FOLDERS:
         try:
             drop_path(spark, path)
         except Exception:  # the JVM may have gone already
@@ -91,6 +100,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` with this package at hand in the workers."""
-    ship(df.sparkSession)
+    """``mapInArrow`` with this package at hand in the workers.
+
+    Rows may hold whole documents, so a batch has ``BATCH_ROWS`` rows, unless the session names another number.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get(_BATCH_SETTING) == "10000":  # Spark's own default
+        spark.conf.set(_BATCH_SETTING, BATCH_ROWS)
     return df.mapInArrow(function, schema)
