@@ -17,7 +17,7 @@ import regex
 
 END_ID = 2
 #: Pieces and words that came twice, and those that came once, in one Python worker's memory; a full memory is emptied.
-PIECES, FRESH = 600_000, 400_000
+PIECES, FRESH = 300_000, 150_000
 
 # The vocabulary's split pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
