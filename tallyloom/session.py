@@ -36,10 +36,7 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder, removed when the driver ends."""
     path = f"{shared_folder(spark)}/tallyloom/{label}-{uuid.uuid4().hex}"
-    if not #: Rows that go to a Python worker at once.
-BATCH_ROWS = 1_000
-_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
-_FOLDERS:
+    if not _FOLDERS:
         atexit.register(_remove)
     _FOLDERS.append((spark, path))
     return path
