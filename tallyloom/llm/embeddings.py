@@ -19,11 +19,13 @@ from tallyloom.operators.graph import connected_components
 from tallyloom.session import map_batches, materialize
 
 COSINE = 0.93
-TABLES = 10
+TABLES = 6
 #: Buckets of a table in which a vector stands.
 PROBES = 4
-#: Members of a bucket that are compared in one block.
-BLOCK = 256
+#: Members of a bucket that are compared in one block, rows of a block that are multiplied at once, and pairs checked at once.
+BLOCK, TILE, PAIRS = 2_048, 512, 1 << 16
+#: Rows in groups up to this size are compared neighbour by neighbour, all groups at once.
+SMALL = 32
 _SEED = 71
 
 
@@ -75,10 +77,10 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-CLASS = "class_id long, k1 long, k2 long, label string, dims int, copies long, embedding array<float>"
+CLASS = "class_id long, k1 long, k2 long, label string, dims int, copies long, embedding array<{}>"
 
 
-def _hashed(classes: DataFrame) -> DataFrame:
+def _hashed(classes: DataFrame, kind: str) -> DataFrame:
     """Adds ``codes``: PROBES buckets of each table, table by table."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,41 +94,51 @@ def _hashed(classes: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays((np.arange(len(x) + 1) * found.shape[1]).astype(np.int32), pa.array(found.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, "codes"])
 
-    return map_batches(classes, code, CLASS + ", codes array<int>")
+    return map_batches(classes, code, CLASS.format(kind) + ", codes array<int>")
 
 
-def linked_pairs(group: np.ndarray, side: np.ndarray, x: np.ndarray, codes: np.ndarray, table: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers (i, j) of linked pairs in rows sorted by group; side 2 meets all, 0 meets 1.
+def candidate_pairs(group: np.ndarray, unit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers (i < j) of pairs in the same group that may be linked, by single-precision cosines; rows sorted by group."""
+    borders = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
+    sizes = np.diff(borders)
+    small = np.flatnonzero(np.repeat(sizes <= SMALL, sizes))
+    own, vectors = group[small], unit[small]
+    for step in range(1, int(sizes[sizes <= SMALL].max(initial=1))):
+        i = np.flatnonzero(own[step:] == own[:-step])
+        near = np.einsum("ij,ij->i", vectors[i], vectors[i + step]) >= COSINE - 1e-4
+        yield small[i[near]], small[i[near] + step]
+    for k in np.flatnonzero(sizes > SMALL):
+        first, last = borders[k], borders[k + 1]
+        for row in range(first, last, TILE):
+            end = min(row + TILE, last)
+            i, j = np.nonzero(unit[row:end] @ unit[row:last].T >= COSINE - 1e-4)
+            ahead = i < j
+            yield row + i[ahead], row + j[ahead]
+
+
+def linked_pairs(group: np.ndarray, side: np.ndarray, x: np.ndarray, codes: np.ndarray, table: np.ndarray, code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers (i, j) of linked pairs in rows sorted by group, in portions; side 2 meets all, 0 meets 1.
 
     A pair that shares several buckets counts only in the first table, and there in the lowest code.
     """
     norms = np.sqrt((x * x).sum(axis=1))
-    rough = (x / norms[:, None]).astype(np.float32)
+    unit = (x / norms[:, None]).astype(np.float32)
     width = codes.shape[1] // TABLES
-    left: list[np.ndarray] = []
-    right: list[np.ndarray] = []
-    size = np.diff(np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))).max()
-    for step in range(1, size):
-        i = np.flatnonzero(group[step:] == group[:-step])
-        j = i + step
-        meet = (side[i] == 2) | (side[i] != side[j])
-        i, j = i[meet], j[meet]
-        near = np.einsum("ij,ij->i", rough[i], rough[j]) >= COSINE - 1e-4
-        i, j = i[near], j[near]
-        exact = (x[i] * x[j]).sum(axis=1) / (norms[i] * norms[j]) >= COSINE
-        i, j = i[exact], j[exact]
-        for t in range(TABLES):
-            if not len(i):
-                break
-            u, v = codes[i, t * width : (t + 1) * width], codes[j, t * width : (t + 1) * width]
-            shared = (u[:, :, None] == v[:, None, :]).any(axis=2)
-            lowest = np.where(shared, u, np.iinfo(np.int32).max).min(axis=1)
-            here = table[i] == t
-            keep = np.where(here, lowest == code[i], (table[i] < t) | ~shared.any(axis=1))
-            i, j = i[keep], j[keep]
-        left.append(i)
-        right.append(j)
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, dtype=int), np.zeros(0, dtype=int))
+    for near_i, near_j in candidate_pairs(group, unit):
+        meet = (side[near_i] == 2) | (side[near_i] != side[near_j])
+        near_i, near_j = near_i[meet], near_j[meet]
+        for at in range(0, len(near_i), PAIRS):
+            i, j = near_i[at : at + PAIRS], near_j[at : at + PAIRS]
+            exact = np.einsum("ij,ij->i", x[i], x[j]) / (norms[i] * norms[j]) >= COSINE
+            i, j = i[exact], j[exact]
+            for t in range(TABLES):
+                u, v = codes[i, t * width : (t + 1) * width], codes[j, t * width : (t + 1) * width]
+                shared = (u[:, :, None] == v[:, None, :]).any(axis=2)
+                lowest = np.where(shared, u, np.iinfo(np.int32).max).min(axis=1)
+                keep = np.where(table[i] == t, lowest == code[i], (table[i] < t) | ~shared.any(axis=1))
+                i, j = i[keep], j[keep]
+            if len(i):
+                yield i, j
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,15 +189,19 @@ def _compared(members: DataFrame) -> DataFrame:
             get = lambda name: part.column(name).to_numpy()
             x = _vectors(part.column("embedding").combine_chunks())
             codes = part.column("codes").combine_chunks().flatten().to_numpy().reshape(len(x), -1)
-            i, j = linked_pairs(get("key"), get("side"), x, codes, get("tab"), get("code"))
-            if not len(i):
-                continue
             ids, copies = get("class_id"), get("copies")
-            nodes, roots = forest(ids[i], ids[j])
-            links = np.zeros(len(nodes), dtype=np.int64)
-            np.add.at(links, np.searchsorted(nodes, ids[i]), copies[j])
-            np.add.at(links, np.searchsorted(nodes, ids[j]), copies[i])
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(links), pa.array(roots)], names=["class_id", "links", "root"])
+            links = np.zeros(len(x), dtype=np.int64)
+            ends: list[tuple[np.ndarray, np.ndarray]] = []
+            for i, j in linked_pairs(get("key"), get("side"), x, codes, get("tab"), get("code")):
+                np.add.at(links, i, copies[j])
+                np.add.at(links, j, copies[i])
+                ends.append(forest(ids[i], ids[j]))
+            if ends:
+                # the links of rows, and the edges that hold their classes together
+                told = np.flatnonzero(links)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[told]), pa.array(links[told]), pa.array(ids[told])], names=["class_id", "links", "root"])
+                nodes, roots = forest(*(np.concatenate(part) for part in zip(*ends)))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.zeros(len(nodes), dtype=np.int64)), pa.array(roots)], names=["class_id", "links", "root"])
 
     return map_batches(members, run, "class_id long, links long, root long")
 
@@ -196,18 +212,21 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     Vectors with null label or id, and those that are null, empty, zero or hold null or non-finite
     components, link with nothing (n_links 0; the component is the own id). Lengths must agree.
     Equal vectors of a label form a class that is compared once and counts with all its copies.
-    Repeated rows count as copies; different vectors with one id share its links and component. An empty table gives an empty table; other columns are ignored.
+    Repeated rows count as copies; different vectors with one id share its links and component.
+    Cosines are taken in double precision from the components as they are stored. An empty table
+    gives an empty table; other columns are ignored, and there are no ties.
     """
-    e = F.col("embedding").cast("array<float>")
+    kind = "double" if vectors.schema["embedding"].dataType.simpleString() == "array<double>" else "float"
+    e = F.col("embedding").cast(f"array<{kind}>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), e.alias("embedding"))
-    sound = F.expr("size(embedding) > 0 AND forall(embedding, v -> v IS NOT NULL AND NOT isnan(v) AND abs(v) < float('infinity')) AND exists(embedding, v -> v <> 0)")
+    sound = F.expr("size(embedding) > 0 AND forall(embedding, v -> v IS NOT NULL AND NOT isnan(v) AND abs(v) < double('infinity')) AND exists(embedding, v -> v <> 0)")
     rows = rows.withColumn("usable", F.coalesce(sound & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False)))
     good = rows.where("usable").withColumns({"k1": F.xxhash64("label", "embedding"), "k2": F.xxhash64(F.lit("second"), "label", "embedding")})
     classes = good.groupBy("k1", "k2").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies"))
     first = good.join(classes, ["k1", "k2"]).where("vec_id = class_id").dropDuplicates(["k1", "k2"])
     # two classes have the same least id where an id stands by several vectors; their hashes part them
     plain = first.select("class_id", "k1", "k2", "label", F.size("embedding").alias("dims"), "copies", "embedding")
-    hashed = materialize(_hashed(plain), "hashed-vectors")
+    hashed = materialize(_hashed(plain, kind), "hashed-vectors")
     spots = hashed.select("class_id", "k1", "k2", "label", "dims", F.posexplode("codes").alias("at", "code")).withColumn("tab", F.floor(F.col("at") / PROBES).cast("int"))
     bucket = ["label", "dims", "tab", "code"]
     crowds = spots.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
@@ -220,7 +239,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     members = seats.join(hashed.select("class_id", "k1", "k2", "dims", "copies", "embedding", "codes"), ["k1", "k2"])
     members = members.select("key", "class_id", "dims", "copies", "embedding", "codes", "tab", "code", "side")
     found = materialize(_compared(members.repartition("key").sortWithinPartitions("key", "side")), "vector-links")
-    components = connected_components(found.select(F.col("class_id").alias("u"), F.col("root").alias("v")))
+    components = connected_components(found.where("links = 0").select(F.col("class_id").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("class_id").agg(F.sum("links").alias("links"))
     of = good.select("vec_id", "k1", "k2").join(classes, ["k1", "k2"])
     of = of.join(links, "class_id", "left").join(components.withColumnRenamed("node", "class_id"), "class_id", "left")

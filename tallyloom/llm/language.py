@@ -22,8 +22,8 @@ ORDER = 4
 DISCOUNT = 0.75
 #: Values of a shard of the model, about, and shards that a worker keeps loaded.
 SHARD_CELLS, HELD_SHARDS = 1 << 22, 4
-#: Training rows whose entropies set the limits of rejection, about; a hash chooses them.
-CALIBRATION_ROWS = 2_000
+#: Temperatures of the score from which the training rows choose, and the characters that count as evidence at most.
+TEMPERATURES, EVIDENCE = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0), 200
 #: Characters turned to codes in one go, about.
 CHUNK = 1 << 19
 #: Chunks whose runs are looked up together.
@@ -34,23 +34,23 @@ LIMIT = 4.0
 
 
 def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Letters of lower-cased texts as numbers, all else as single zeros; each text starts and ends with a zero.
+    """Letters of lower-cased texts as numbers below 2**16, all else as single zeros; each text starts and ends with a zero.
 
-    Returns the numbers and the text of each.
+    Every text is lower-cased alone. Letters beyond the basic plane share the 8,448 numbers from
+    0xD800 on, which no letter of that plane has. Returns the numbers and the text of each.
     """
     # joined by line ends, which are no letters
-    joined = "\n" + "\n".join(t.replace("\n", " ") for t in texts) + "\n"
+    joined = "\n" + "\n".join([t.lower().replace("\n", " ") for t in texts]) + "\n"
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")
     owner = np.cumsum(points == 10) - 1
-    lower = joined.lower()
-    if len(lower) == len(joined):
-        points = np.frombuffer(lower.encode("utf-32-le", "surrogatepass"), dtype="<u4")
     letter = _LETTERS[np.minimum(points, len(_LETTERS) - 1)]
     high = points >= len(_LETTERS) - 1
     if high.any():
         found, back = np.unique(points[high], return_inverse=True)
         letter[high] = np.array([chr(c).isalpha() for c in found.tolist()])[back]
     out = np.where(letter, points, 0).astype(np.uint64)
+    if high.any():
+        out = np.where(out > 0xFFFF, 0xD800 + mix(out) % np.uint64(0x2100), out)
     keep = np.concatenate(([True], (out[1:] != 0) | (out[:-1] != 0) | (points[1:] == 10)))
     return out[keep], np.minimum(owner[keep], len(texts) - 1)
 
@@ -154,6 +154,7 @@ class Model:
         self.langs, self.floor, self.shards = langs, floor, shards
         self.limits = np.full(len(langs), np.inf)
         self.spread = np.ones(len(langs))
+        self.temperature = TEMPERATURES[0]
 
     def _each(self) -> Iterator[dict[int, tuple[np.ndarray, np.ndarray]]]:
         for shared in self.shards:
@@ -211,7 +212,7 @@ class Model:
         best = entropy.argmin(axis=1)
         low = entropy[np.arange(len(best)), best]
         gap = entropy - low[:, None]
-        told = 1.0 / np.exp(-gap * np.minimum(size, 200)[:, None] / 4).sum(axis=1)
+        told = 1.0 / np.exp(-gap * np.minimum(size, EVIDENCE)[:, None] / self.temperature).sum(axis=1)
         far = np.maximum(0, low - self.limits[best]) / self.spread[best]
         score = np.where(size > 0, told * np.exp(-far / LIMIT), 0.0)
         return [self.langs[b] if n else UNKNOWN for b, n in zip(best.tolist(), size.tolist())], score
@@ -252,20 +253,35 @@ def train(training: DataFrame) -> Model | None:
 
 
 def calibrate(model: Model, rows: DataFrame) -> Model:
-    """Sets the limits of rejection from the own entropies of a bounded sample of training rows."""
+    """Sets the limits of rejection and the temperature of the score from all training rows.
+
+    Sums are taken in every batch: entropies of texts under their own model for the limits, and
+    the log-likelihood of their own languages under each temperature, of which the best is kept.
+    """
+    grid = [f"t{k}" for k in range(len(TEMPERATURES))]
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = {name: k for k, name in enumerate(model.langs)}
         for batch in batches:
             entropy, size = model.entropies(batch.column(1).to_pylist())
-            own = [(name, float(entropy[k, index[name]])) for k, name in enumerate(batch.column(0).to_pylist()) if name in index and size[k]]
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in own], pa.string()), pa.array([b for _, b in own], pa.float64())], names=["lang", "h"])
-
-    every = max(1, rows.count() // CALIBRATION_ROWS)
-    sample = rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(every)) == 0).select("lang", "text")
-    for row in map_batches(sample, measure, "lang string, h double").groupBy("lang").agg(F.avg("h").alias("mean"), F.coalesce(F.stddev_pop("h"), F.lit(0.0)).alias("sd")).collect():
-        k = model.langs.index(row.lang)
-        model.spread[k] = max(row.sd, 0.02)
-        model.limits[k] = row.mean + LIMIT * model.spread[k]
+            own = np.array([index[name] for name in batch.column(0).to_pylist()])
+            good = np.flatnonzero(size)
+            h, own, size = entropy[good], own[good], size[good]
+            gap = -(h - h[np.arange(len(h)), own][:, None]) * np.minimum(size, EVIDENCE)[:, None]
+            told = np.stack([-np.logaddexp.reduce(gap / t, axis=1) for t in TEMPERATURES], axis=1) if len(h) else np.zeros((0, len(grid)))
+            low = h[np.arange(len(h)), own]
+            langs = np.unique(own)
+            sums = [[values[own == k].sum() for k in langs.tolist()] for values in (np.ones(len(low)), low, low * low, *told.T)]
+            yield pa.RecordBatch.from_arrays([pa.array([model.langs[k] for k in langs.tolist()], pa.string()), *[pa.array(x, pa.float64()) for x in sums]], names=["lang", "n", "s", "q", *grid])
+
+    schema = ", ".join(["lang string", *[f"{c} double" for c in ("n", "s", "q", *grid)]])
+    sums = map_batches(rows.select("lang", "text"), measure, schema).groupBy("lang").agg(*[F.sum(c).alias(c) for c in ("n", "s", "q", *grid)]).collect()
+    for row in sums:  # one for each language
+        k, mean = model.langs.index(row.lang), row.s / row.n
+        model.spread[k] = max(max(0.0, row.q / row.n - mean * mean) ** 0.5, 0.02)
+        model.limits[k] = mean + LIMIT * model.spread[k]
+    if sums:
+        model.temperature = max(zip(np.sum([[row[c] for c in grid] for row in sums], axis=0).round(6), TEMPERATURES))[1]
     return model
 
 
