@@ -39,10 +39,11 @@ def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     Every text is lower-cased alone. Letters beyond the basic plane share the 8,448 numbers from
     0xD800 on, which no letter of that plane has. Returns the numbers and the text of each.
     """
-    # joined by line ends, which are no letters
-    joined = "\n" + "\n".join([t.lower().replace("\n", " ") for t in texts]) + "\n"
+    # each one stands between two line ends, which are no letters
+    joined = "".join(["\n" + t.lower().replace("\n", " ") + "\n" for t in texts])
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    owner = np.cumsum(points == 10) - 1
+    ends = np.cumsum(points == 10) - 1
+    owner = ends // 2
     letter = _LETTERS[np.minimum(points, len(_LETTERS) - 1)]
     high = points >= len(_LETTERS) - 1
     if high.any():
@@ -51,8 +52,9 @@ def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     out = np.where(letter, points, 0).astype(np.uint64)
     if high.any():
         out = np.where(out > 0xFFFF, 0xD800 + mix(out) % np.uint64(0x2100), out)
-    keep = np.concatenate(([True], (out[1:] != 0) | (out[:-1] != 0) | (points[1:] == 10)))
-    return out[keep], np.minimum(owner[keep], len(texts) - 1)
+    begins = (points == 10) & (ends % 2 == 0)
+    keep = begins | (out != 0) | np.concatenate(([False], out[:-1] != 0))
+    return out[keep], owner[keep]
 
 
 _LETTERS = np.array([chr(c).isalpha() for c in range(0x3000)] + [False])
