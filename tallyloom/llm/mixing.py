@@ -19,7 +19,7 @@ REPEATS = 2
 #: Documents that share a group of a prefix sum, about.
 GROUP = 500
 #: The counts of so many documents at most are broadcast to their texts; more are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 100_000
 #: Bins of virtual time in a unit.
 BINS = 65_536
 
