@@ -214,22 +214,25 @@ def _grams(text: str = "text") -> F.Column:
     return F.expr(f"element_at(transform(array({words}), w -> IF(size(w) < {SHINGLE}, {whole}, {runs})), 1)")
 
 
-def _sets(pairs: DataFrame, reps: DataFrame, keyed: DataFrame) -> DataFrame:
-    """(node, grams) of the classes that stand in candidate pairs: the full sets, from one text of each class."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = bounded(materialize(wanted.join(reps.select("node", "k1", "k2"), "node"), "wanted-sets"), BROADCAST_ROWS)
+def _sets(nodes: DataFrame, reps: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(node, grams) of the wanted classes: the full sets, from one text of each class."""
+    wanted = bounded(materialize(nodes.distinct().join(reps.select("node", "k1", "k2"), "node"), "wanted-sets"), BROADCAST_ROWS)
     # rows with these keys are equal texts
     return materialize(keyed.join(wanted, ["k1", "k2"]).dropDuplicates(["node"]).select("node", _grams().alias("grams")), "full-sets")
 
 
+def _similar(a: str, b: str, percent: int) -> str:
+    """SQL for 100 * |intersection| >= percent * |union| of two arrays of distinct values."""
+    return f"{100 + percent} * size(array_intersect({a}, {b})) >= {percent} * (size({a}) + size({b}))"
+
+
 def _verified(pairs: DataFrame, reps: DataFrame, keyed: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with 100 * |intersection| >= percent * |union| on the full sets."""
-    sets = _sets(pairs, reps, keyed)
+    """Pairs (a, b) that are similar enough on the full sets."""
+    sets = _sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), reps, keyed)
     side = lambda s: sets.select(F.col("node").alias(s), F.col("grams").alias("g" + s))
     # the first of a pair may have many partners: its set comes last, where a skewed join can be split
     both = pairs.join(side("b"), "b").join(side("a"), "a")
-    common = F.size(F.array_intersect("ga", "gb"))
-    return both.where(100 * common >= percent * (F.size("ga") + F.size("gb") - common)).select("a", "b")
+    return both.where(_similar("ga", "gb", percent)).select("a", "b")
 
 
 def _signed_classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -254,8 +257,7 @@ def _linked(reps: DataFrame, keyed: DataFrame, percent: int) -> DataFrame:
     star = shared.where("node <> a").select("a", F.col("node").alias("b")).distinct()
     links = materialize(_verified(materialize(_plausible(star, reps, threshold), "plausible"), reps, keyed, percent), "links")
     labels = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    more = materialize(_crossing(shared, reps, labels, threshold), "crossing").join(links, ["a", "b"], "left_anti")
-    added = materialize(_verified(materialize(_plausible(more, reps, threshold), "plausible"), reps, keyed, percent), "links")
+    added = materialize(_crossing(shared, reps, keyed, labels, percent), "crossing-links")
     edges = labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(added.select(F.col("a").alias("u"), F.col("b").alias("v")))
     return edges
 
@@ -292,24 +294,29 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     return out.select("k1", "k2", "doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, own.isNull()).alias("kept"))
 
 
-def _crossing(shared: DataFrame, reps: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of members of one band that are in different components and may be similar, each once.
+def _crossing(shared: DataFrame, reps: DataFrame, keyed: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of one band that are in different components, each once.
 
-    Only bands with more than one component matter. The condition stands inside the join, so no
-    pair that fails it becomes a row, and a pair that shares several bands is one only in the
-    first; skewed bands are split by adaptive execution.
+    Only bands with more than one component matter. The whole test stands inside the join: a
+    compact comparison of the registers first, then the full sets. So only links become rows, and
+    a pair that shares several bands is one only in the first; skewed bands are split by adaptive
+    execution.
     """
+    threshold = percent / 100
     told = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = told.groupBy("band", "value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "value")
-    rows = told.drop("a").join(mixed, ["band", "value"]).join(reps.select("node", "n_shingles", "bits", "bands"), "node")
-    rows = materialize(rows.select("band", "value", "node", "component", "n_shingles", "bits", "bands"), "mixed-bands")
+    seats = materialize(told.drop("a").join(mixed, ["band", "value"]), "mixed-bands")
+    rows = seats.join(reps.select("node", "n_shingles", "bits", "bands"), "node").join(_sets(seats.select("node"), reps, keyed), "node")
+    rows = materialize(rows.select("band", "value", "node", "component", "n_shingles", "bits", "bands", "grams"), "mixed-members")
     words = 2 * REGISTERS // 64
     differ = " + ".join(f"bit_count(((x.bits[{k}] ^ y.bits[{k}]) | shiftrightunsigned(x.bits[{k}] ^ y.bits[{k}], 1)) & 6148914691236517205L)" for k in range(words))
     # two bits of different values agree by chance one time in four
     agree = threshold + (1 - threshold) / 4
     scatter = MARGIN * math.sqrt(REGISTERS * agree * (1 - agree))
     most = f"IF(greatest(x.n_shingles, y.n_shingles) <= {SMALL_SET}, {int(REGISTERS * (1 - agree) + SMALL_SCATTER * scatter)}, {int(REGISTERS * (1 - agree) + scatter)})"
-    condition = f"x.band = y.band AND x.value = y.value AND x.component <> y.component AND x.node < y.node AND least(x.n_shingles, y.n_shingles) >= {threshold} * greatest(x.n_shingles, y.n_shingles) - 1e-9D AND {differ} <= {most} AND (x.band = 0 OR NOT exists(sequence(1, x.band), k -> x.bands[k - 1] = y.bands[k - 1]))"
+    first = "x.band = 0 OR NOT exists(sequence(1, x.band), k -> x.bands[k - 1] = y.bands[k - 1])"
+    cheap = f"x.component <> y.component AND least(x.n_shingles, y.n_shingles) >= {threshold} * greatest(x.n_shingles, y.n_shingles) - 1e-9D AND {differ} <= {most} AND ({first})"
+    condition = f"x.band = y.band AND x.value = y.value AND x.node < y.node AND CASE WHEN {cheap} THEN {_similar('x.grams', 'y.grams', percent)} ELSE false END"
     return rows.alias("x").join(rows.alias("y"), F.expr(condition)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
