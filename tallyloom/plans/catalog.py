@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import integrity, metrics, release, sequences, splits, texts  # noqa: F401
+from tallyloom.plans import episodes, integrity, metrics, release, sequences, splits, texts  # noqa: F401
 from tallyloom.plans.registry import ORACLES, QUERIES  # noqa: F401
