@@ -23,6 +23,8 @@ CAPACITY = 1024
 #: Pieces that share a rank group, about; the groups of a length are numbered one after another.
 RANK_GROUP = 20_000
 LEAST_GROUPS = 64
+#: Shares of the fitted counts that are tried.
+SHARES = (1.0, 0.75, 0.5, 0.25)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
 
@@ -120,31 +122,36 @@ def best_fit(histogram: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...]
     return [(lengths, n) for groups in free for lengths, n in groups]
 
 
+def _with_patterns(left: np.ndarray, rows: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns as often as counts and histogram allow, then best-fit decreasing on what remains."""
+    left, out = left.copy(), []
+    for k in np.argsort(-rows.sum(axis=1), kind="stable"):
+        row = [int(v) for v in rows[k] if v]
+        n = min([int(counts[k]), *(int(left[v]) // row.count(v) for v in set(row))])
+        if n > 0:
+            out.append((tuple(row), n))
+            for v in row:
+                left[v] -= n
+    return out + best_fit(left, capacity)
+
+
 def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """Patterns with repeat counts that hold every piece of the histogram exactly once.
 
-    The fitted patterns are kept where they save sequences against best-fit alone.
+    The fitted counts are rounded down. As a fit of the histogram is none of the number of
+    sequences, they are also scaled by ``SHARES``, and the share with the fewest sequences is
+    taken; of equal ones the largest.
     """
     left = histogram.astype(np.int64).copy()
     out = [((capacity,), int(left[capacity]))] if left[capacity] else []
     left[capacity] = 0
-    short = left.copy()
     lengths = np.flatnonzero(left)
-    fitted = []
-    if len(lengths):
-        rows = patterns(lengths, capacity)
-        counts = np.floor(fit_counts(rows, left.astype(float)) + 1e-9).astype(np.int64)
-        for k in np.argsort(-rows.sum(axis=1), kind="stable"):
-            row = [int(v) for v in rows[k] if v]
-            n = min([int(counts[k]), *(int(left[v]) // row.count(v) for v in set(row))])
-            if n > 0:
-                fitted.append((tuple(row), n))
-                for v in row:
-                    left[v] -= n
-    fitted += best_fit(left, capacity)
-    plain = best_fit(short, capacity)
-    total = lambda groups: sum(n for _, n in groups)
-    return out + (fitted if total(fitted) <= total(plain) else plain)
+    if not len(lengths):
+        return out
+    rows = patterns(lengths, capacity)
+    fitted = fit_counts(rows, left.astype(float))
+    tried = [_with_patterns(left, rows, np.floor(share * fitted + 1e-9).astype(np.int64), capacity) for share in SHARES]
+    return out + min(tried, key=lambda groups: sum(n for _, n in groups))
 
 
 def slots(groups: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, ...]]:
