@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tallyloom.session import materialize
+from tallyloom.session import materialize, release
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -26,8 +26,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     for _ in range(max_rounds):
         if not mark[0]:
             break
-        state = materialize(_small_star(_large_star(state)), "components")
+        old, state = state, materialize(_small_star(_large_star(state)), "components")
         seen, mark = mark, _mark(state)
+        release(old)
         if seen == mark:
             break
     else:

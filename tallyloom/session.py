@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 #: Rows that go to a Python worker at once.
 BATCH_ROWS = 1_000
 _BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_CLEANUP_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _FOLDERS: list[tuple[SparkSession, str]] = []
 
 
@@ -37,6 +38,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder, removed when the driver ends."""
     path = f"{shared_folder(spark)}/tallyloom/{label}-{uuid.uuid4().hex}"
     if not _FOLDERS:
+        atexit.unregister(_remove)
         atexit.register(_remove)
     _FOLDERS.append((spark, path))
     return path
@@ -60,12 +62,28 @@ def drop_path(spark: SparkSession, path: str) -> None:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` once to the shared folder and returns the stored table.
 
-    The table survives lost executors, cuts the lineage, and gives the optimizer true sizes.
+    The table survives lost executors, cuts the lineage, and gives the optimizer true sizes. The
+    shuffle files behind it are no longer needed and go with the end of the write.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP_SETTING, None)
+    spark.conf.set(_CLEANUP_SETTING, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP_SETTING, before) if before is not None else spark.conf.unset(_CLEANUP_SETTING)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._scratch = path
+    return stored
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes stored tables of :func:`materialize` that nothing reads any more: all that came from them is written."""
+    for table in tables:
+        if path := getattr(table, "_scratch", None):
+            drop_path(table.sparkSession, path)
+            _FOLDERS[:] = [(spark, other) for spark, other in _FOLDERS if other != path]
 
 
 def fresh(columns: list[str], *stems: str) -> list[str]:
