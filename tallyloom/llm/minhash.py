@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyloom.llm import shingles
 from tallyloom.operators.graph import connected_components
-from tallyloom.session import bounded, fresh, map_batches, materialize
+from tallyloom.session import bounded, fresh, map_batches, materialize, release
 
 SHINGLE = 5
 REGISTERS = 512
@@ -216,9 +216,11 @@ def _grams(text: str = "text") -> F.Column:
 
 def _sets(nodes: DataFrame, reps: DataFrame, keyed: DataFrame) -> DataFrame:
     """(node, grams) of the wanted classes: the full sets, from one text of each class."""
-    wanted = bounded(materialize(nodes.distinct().join(reps.select("node", "k1", "k2"), "node"), "wanted-sets"), BROADCAST_ROWS)
+    wanted = materialize(nodes.distinct().join(reps.select("node", "k1", "k2"), "node"), "wanted-sets")
     # rows with these keys are equal texts
-    return materialize(keyed.join(wanted, ["k1", "k2"]).dropDuplicates(["node"]).select("node", _grams().alias("grams")), "full-sets")
+    sets = materialize(keyed.join(bounded(wanted, BROADCAST_ROWS), ["k1", "k2"]).dropDuplicates(["node"]).select("node", _grams().alias("grams")), "full-sets")
+    release(wanted)
+    return sets
 
 
 def _similar(a: str, b: str, percent: int) -> str:
@@ -232,7 +234,9 @@ def _verified(pairs: DataFrame, reps: DataFrame, keyed: DataFrame, percent: int)
     side = lambda s: sets.select(F.col("node").alias(s), F.col("grams").alias("g" + s))
     # the first of a pair may have many partners: its set comes last, where a skewed join can be split
     both = pairs.join(side("b"), "b").join(side("a"), "a")
-    return both.where(_similar("ga", "gb", percent)).select("a", "b")
+    links = materialize(both.where(_similar("ga", "gb", percent)).select("a", "b"), "links")
+    release(sets)
+    return links
 
 
 def _signed_classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -245,27 +249,35 @@ def _signed_classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame
     # combined on the map side first: the copies of a class leave a task as one row
     shared = F.struct("k1", "k2", "n_shingles", "registers", "bits", "bands")
     reps = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min_by(shared, F.struct("k1", "k2")).alias("x"))
-    return keyed, signed, materialize(reps.select("node", "least_id", "x.*"), "representatives")
+    reps = materialize(reps.select("node", "least_id", "x.*"), "representatives")
+    slim = materialize(signed.select("k1", "k2", "doc_id", "n_shingles", "node"), "signed-documents")
+    release(signed)
+    return keyed, slim, reps
 
 
-def _linked(reps: DataFrame, keyed: DataFrame, percent: int) -> DataFrame:
-    """(node, component) of the classes that are linked with another one."""
+def _linked(reps: DataFrame, keyed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Edges (u, v) that hold the linked classes together, and the classes without their registers; releases ``reps``."""
     threshold = percent / 100
     slim = reps.select("node", F.posexplode("bands").alias("band", "value"))
     least = slim.groupBy("band", "value").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
     shared = materialize(slim.join(least.drop("n"), ["band", "value"]), "shared-bands")  # members of bands with company
     star = shared.where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    links = materialize(_verified(materialize(_plausible(star, reps, threshold), "plausible"), reps, keyed, percent), "links")
-    labels = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    added = materialize(_crossing(shared, reps, keyed, labels, percent), "crossing-links")
+    likely = materialize(_plausible(star, reps, threshold), "plausible")
+    links = _verified(likely, reps, keyed, percent)
+    labels = materialize(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "star-components")
+    release(likely, links)
+    light = materialize(reps.select("node", "k1", "k2", "n_shingles", "bits", "bands", "least_id"), "light-representatives")
+    release(reps)
+    added = _crossing(shared, light, keyed, labels, percent)
+    release(shared)
     edges = labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(added.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    return edges
+    return edges, light
 
 
 def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Signatures, and (node, part, component_id) of the classes that have a company or a component of several ids."""
     keyed, signed, reps = _signed_classes(docs, percent)
-    edges = _linked(reps, keyed, percent)
+    edges, reps = _linked(reps, keyed, percent)
     # an id that stands by several texts connects their classes
     homes = signed.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("v")).where("u <> v")
     split = signed.where("node IS NOT NULL").join(homes.select("doc_id", "u"), "doc_id").select("u", F.col("node").alias("v"))
@@ -306,8 +318,10 @@ def _crossing(shared: DataFrame, reps: DataFrame, keyed: DataFrame, labels: Data
     told = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = told.groupBy("band", "value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "value")
     seats = materialize(told.drop("a").join(mixed, ["band", "value"]), "mixed-bands")
-    rows = seats.join(reps.select("node", "n_shingles", "bits", "bands"), "node").join(_sets(seats.select("node"), reps, keyed), "node")
+    sets = _sets(seats.select("node"), reps, keyed)
+    rows = seats.join(reps.select("node", "n_shingles", "bits", "bands"), "node").join(sets, "node")
     rows = materialize(rows.select("band", "value", "node", "component", "n_shingles", "bits", "bands", "grams"), "mixed-members")
+    release(seats, sets)
     words = 2 * REGISTERS // 64
     differ = " + ".join(f"bit_count(((x.bits[{k}] ^ y.bits[{k}]) | shiftrightunsigned(x.bits[{k}] ^ y.bits[{k}], 1)) & 6148914691236517205L)" for k in range(words))
     # two bits of different values agree by chance one time in four
@@ -317,7 +331,9 @@ def _crossing(shared: DataFrame, reps: DataFrame, keyed: DataFrame, labels: Data
     first = "x.band = 0 OR NOT exists(sequence(1, x.band), k -> x.bands[k - 1] = y.bands[k - 1])"
     cheap = f"x.component <> y.component AND least(x.n_shingles, y.n_shingles) >= {threshold} * greatest(x.n_shingles, y.n_shingles) - 1e-9D AND {differ} <= {most} AND ({first})"
     condition = f"x.band = y.band AND x.value = y.value AND x.node < y.node AND CASE WHEN {cheap} THEN {_similar('x.grams', 'y.grams', percent)} ELSE false END"
-    return rows.alias("x").join(rows.alias("y"), F.expr(condition)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    links = materialize(rows.alias("x").join(rows.alias("y"), F.expr(condition)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), "crossing-links")
+    release(rows)
+    return links
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:

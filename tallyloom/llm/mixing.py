@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tallyloom.session import bounded, fresh, materialize
+from tallyloom.session import fresh, materialize
 
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -18,8 +18,6 @@ BUDGET_PERCENT = 150
 REPEATS = 2
 #: Documents that share a group of a prefix sum, about.
 GROUP = 500
-#: The counts of so many documents at most are broadcast to their texts; more are joined by a shuffle.
-BROADCAST_ROWS = 100_000
 #: Bins of virtual time in a unit.
 BINS = 65_536
 
@@ -117,7 +115,8 @@ def mix(docs: DataFrame) -> DataFrame:
     """
     size, passes, turn = fresh(docs.columns, "size", "passes", "turn")
     counts = mix_counts(docs).groupBy("doc_id", "source", "size").agg(F.max("passes").alias("passes")).where("passes > 0")
-    p = bounded(materialize(counts, "passes"), BROADCAST_ROWS).select(F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("size").alias("p_size"), F.col("passes").alias("p_passes")).alias("p")
+    # a row for each document: joined by a shuffle at every size
+    p = materialize(counts, "passes").hint("merge").select(F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("size").alias("p_size"), F.col("passes").alias("p_passes")).alias("p")
     d = docs.withColumn(size, word_count(F.col("text"))).alias("d")
     same = F.col("d.doc_id").eqNullSafe(F.col("p.p_id")) & F.col("d.source").eqNullSafe(F.col("p.p_source")) & (F.col(f"d.{size}") == F.col("p.p_size"))
     taken = d.join(p, same).select("d.*", F.col("p.p_passes").alias(passes)).withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(passes))))
