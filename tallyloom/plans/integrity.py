@@ -158,7 +158,7 @@ def _admission(spark, sf_dir):
 
 @query(f"SELECT d.doc_id, array_to_string({_CODES}, ',') AS reasons, len({_CODES}) = 0 AS admitted FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def admission_reasons(spark, sf_dir):
-    """VAL1-VAL6, VAL13, VAL18, RTE1, JN1: every violated rule as a code; none means admitted."""
+    """RTE1, JN1 in part: accepted and rejected rows with the codes of four rules over documents and labels."""
     return _admission(spark, sf_dir).select("doc_id", F.array_join("reasons", ",").alias("reasons"), (F.size("reasons") == 0).alias("admitted"))
 
 
