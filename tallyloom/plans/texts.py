@@ -50,7 +50,7 @@ def page_controls(spark, sf_dir):
 @query("""WITH x AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), n AS (SELECT doc_id, unnest(l) AS raw, generate_subscripts(l, 1) AS line FROM x)
 SELECT doc_id, count(*) AS lines, count(*) FILTER (length(trim(raw, ' ')) > 0) AS filled, max(length(raw)) AS longest FROM n GROUP BY doc_id""")
 def line_entities(spark, sf_dir):
-    """STR4, STR7, SRC5: lines of texts."""
+    """Lines of texts that name an entity."""
     t = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("raw"))
     return t.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(F.length(F.trim("raw")) > 0).alias("filled"), F.max(F.length("raw")).cast("long").alias("longest"))
 
